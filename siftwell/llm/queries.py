@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import minmax_dedup
+from siftwell.llm import mcd_rules, minmax_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mcd_rules": op3_mcd_rules,
     "op10_minmax_dedup": op10_minmax_dedup,
 }
 
