@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import mcd_rules, minmax_dedup
+from siftwell.llm import mcd_rules, minmax_dedup, prefix_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,24 @@ def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """Where the installed public tokenizers keep the vocabulary; each executor reads its own copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mcd_rules": op3_mcd_rules,
+    "op5_prefix_bpe": op5_prefix_bpe,
     "op10_minmax_dedup": op10_minmax_dedup,
 }
 
