@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import mcd_rules, minmax_dedup, prefix_bpe
+from siftwell.llm import flac, mcd_rules, minmax_dedup, prefix_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.store(_table(spark, sf_dir, "documents")))
+
+
 def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mcd_rules": op3_mcd_rules,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op9_flac": op9_flac,
     "op10_minmax_dedup": op10_minmax_dedup,
 }
 
