@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import flac, license_index, mcd_rules, minmax_dedup, prefix_bpe
+from siftwell.llm import flac, license_index, mcd_rules, minmax_dedup, prefix_bpe, weak_pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.judge(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mcd_rules": op3_mcd_rules,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op6_weak_pii": op6_weak_pii,
     "op8_license_index": op8_license_index,
     "op9_flac": op9_flac,
     "op10_minmax_dedup": op10_minmax_dedup,
