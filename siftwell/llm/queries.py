@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm import flac, license_index, mcd_rules, minmax_dedup, prefix_bpe, weak_pii
+from siftwell.llm import best_fit, flac, license_index, mcd_rules, minmax_dedup, prefix_bpe, toxicity_chain, weak_pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,18 @@ def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+#: The categories of the chain, in order; the last one is the verdict.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.judge(_table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir), CATEGORIES, "toxic")
+
+
 def tokenizer_path() -> str:
     """Where the installed public tokenizers keep the vocabulary; each executor reads its own copy."""
     import public_tokenizers
@@ -32,6 +45,10 @@ def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.detect(_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_index.judge(_table(spark, sf_dir, "documents"))
 
@@ -46,8 +63,10 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mcd_rules": op3_mcd_rules,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_weak_pii": op6_weak_pii,
+    "op7_best_fit": op7_best_fit,
     "op8_license_index": op8_license_index,
     "op9_flac": op9_flac,
     "op10_minmax_dedup": op10_minmax_dedup,
