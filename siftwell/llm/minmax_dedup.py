@@ -35,10 +35,12 @@ PERMUTATIONS = 100
 BAND_ROWS = 5
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 #: From this many classes in a bucket on, classes that can't reach the similarity with any other are left out.
-CROWDED = 4
+CROWDED = 3
 #: Shingles hashed at a time, so that the work stays in the cache.
 CHUNK = 1 << 15
 KNOWN_WORDS = 200_000
+#: Shingles in a block of a component's members.
+BLOCK_SHINGLES = 1 << 14
 
 PROFILE = "doc_id long, text_hash long, n_shingles long, class binary, bands array<long>"
 SETS = "class binary, n long, shingles array<long>"
@@ -152,7 +154,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def profile(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, class (of equal sets; null if empty) and bands of each row."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash")).mapInArrow(_profile, PROFILE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(_profile, PROFILE)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,16 +198,46 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return written(members.join(counts, "bucket"), "buckets")
 
 
-def _shared(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """class, shared: how many of a class's shingles another class of a crowded bucket also has."""
-    rows = written(sets.join(crowded.select("class").distinct(), "class", "left_semi").select("class", F.explode("shingles").alias("shingle")), "shingles")
-    more = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("shingle"), "repeated")
-    out = written(rows.join(more, "shingle").groupBy("class").agg(F.count(F.lit(1)).alias("shared")), "shared")
+def _rare(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, shared and rare: how many of a class's shingles another class of a crowded bucket also has,
+    and the rarest of these. Of its shingles ordered by rarity, rare has those among the first
+    n - ceil(LINK_PERCENT % of n) + 1: two similar enough sets have one of these in common."""
+    rows = written(sets.join(crowded.select("class").distinct(), "class", "left_semi").select("class", "n", F.explode("shingles").alias("shingle")), "shingles")
+    more = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "repeated")
+    found = rows.join(more, "shingle").groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    single = F.col("n") - F.size("rare")
+    first = F.col("n") - F.ceil(F.col("n") * LINK_PERCENT / 100) + 1
+    out = written(found.select("class", F.size("rare").alias("shared"), F.slice("rare", 1, F.greatest(first - single, F.lit(0)).cast("int")).alias("rare")), "rare")
     forget(rows)
     forget(more)
     return out
 
 
+def _between(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) from the loose of rest (class, n, root, loose, rare) to other components.
+
+    The members of a component make blocks of about BLOCK_SHINGLES; a loose class meets each block once
+    that has one of its rare shingles, and only links come out of that.
+    """
+    sizes = written(rest.groupBy("root").agg(F.sum("n").alias("total")), "sizes")
+    block = F.concat_ws("-", F.hex("root"), F.pmod(F.xxhash64("class"), F.ceil(F.col("total") / BLOCK_SHINGLES)))
+    blocked = written(rest.join(sizes, "root").select("class", "n", "root", "loose", "rare", block.alias("block")), "blocked")
+    there = blocked.select("root", "block", F.explode("rare").alias("shingle")).distinct()
+    loose = blocked.where("loose").select(F.col("class").alias("a"), F.col("root").alias("root_a"), F.explode("rare").alias("shingle"))
+    meets = written(loose.join(there, "shingle").where(F.col("root") != F.col("root_a")).select("a", "block").distinct(), "meets")
+    blocks = blocked.select("class", "block").join(meets.select("block").distinct(), "block", "left_semi").join(sets, "class")
+    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("class", "n", "shingles")).alias("members"))
+    ends = meets.join(sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a").join(blocks, "block")
+
+    def linked(y):
+        inter = F.size(F.array_intersect(F.col("sa"), y["shingles"]))
+        near = F.least(F.col("na"), y["n"]) * 100 >= F.greatest(F.col("na"), y["n"]) * LINK_PERCENT
+        return near & (inter * 100 >= (F.col("na") + y["n"] - inter) * LINK_PERCENT)
+
+    found = ends.select("a", F.transform(F.filter("members", linked), lambda y: y["class"]).alias("bs"))
+    return found.where(F.size("bs") > 0).select("a", F.explode("bs").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, roots): classes of equal sets with first_doc, and the component root of the linked ones."""
     classes = written(
@@ -221,12 +253,11 @@ def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataF
     # Where many meet, a class with too few shared shingles can't be linked with any of them: with s of its n
     # shingles found elsewhere and no other set of under m, its similarity is at most s / (n + m - s).
     crowded = buckets.where(F.col("crowd") >= CROWDED)
-    shared = _shared(crowded, sets)
+    rare = _rare(crowded, sets)
     s, n = F.coalesce(F.col("shared"), F.lit(0)), F.col("n")
     able = s * 100 >= (n + F.greatest(F.col("least_n"), s) - s) * LINK_PERCENT
-    apt = buckets.join(shared, "class", "left").where((F.col("crowd") < CROWDED) | able).select("bucket", "class", "n", (s / n).alias("central"))
-    apt = written(apt, "apt")
-    forget(shared)
+    apt = buckets.join(rare.select("class", "shared"), "class", "left").where((F.col("crowd") < CROWDED) | able)
+    apt = written(apt.select("bucket", "class", "n", "crowd", "least_n", (s / n).alias("central")), "apt")
 
     hubs = written(apt.groupBy("bucket").agg(F.max(F.struct("central", "class", "n")).alias("hub")).select("bucket", F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
 
@@ -234,40 +265,49 @@ def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataF
         return F.least(x, y) * 100 >= F.greatest(x, y) * LINK_PERCENT
 
     stars = apt.join(hubs, "bucket").where((F.col("hub") != F.col("class")) & similar_size("n", "hub_n"))
-    stars = stars.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
+    stars = written(stars.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), "pairs")
     links = written(_confirmed(stars, sets), "stars")
     roots = components(links)
 
-    # What the stars left apart: all pairs of a bucket whose ends are in different components.
-    placed = written(apt.join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", "n", F.coalesce("root", "class").alias("root")), "placed")
-    parts = written(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), "parts")
-    rest = placed.join(parts, "bucket", "left_semi")
-    other = rest.select("bucket", F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    # One end is outside the component of the bucket's hub, so that members of a large component don't meet each other.
-    hub_root = written(hubs.join(roots, F.col("hub") == F.col("node"), "left").select("bucket", F.coalesce("root", "hub").alias("hub_root")), "hub_roots")
-    loose = rest.join(hub_root, "bucket").where(F.col("root") != F.col("hub_root"))
-    pairs = loose.join(other, "bucket").where((F.col("root") != F.col("root_b")) & similar_size("n", "n_b"))
-    pairs = pairs.select(F.least("class", "class_b").alias("a"), F.greatest("class", "class_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(pairs, sets), "rest")
+    # What the stars left apart: of a bucket whose members are in several components, those outside its hub's
+    # component are compared with all that share a rare shingle. Sets of n and m with similarity t have at
+    # least t / (1 + t) * (n + m) shingles in common, so all but so many, less one, of the rarest decide.
+    # In a bucket of two the star has left nothing.
+    placed = apt.where(F.col("crowd") >= CROWDED).join(roots, F.col("class") == F.col("node"), "left").select("bucket", "class", "n", "least_n", F.coalesce("root", "class").alias("root"))
+    placed = written(placed, "placed")
+    parts = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    hub_root = hubs.join(parts, "bucket").join(roots, F.col("hub") == F.col("node"), "left").select("bucket", F.coalesce("root", "hub").alias("hub_root"))
+    hub_root = written(hub_root, "hub_roots")
+    rest = placed.join(hub_root, "bucket").groupBy("class").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least_n").alias("least_n"), F.max(F.col("root") != F.col("hub_root")).alias("loose"))
+    least_m = F.greatest("least_n", F.ceil(F.col("n") * LINK_PERCENT / 100))
+    first = F.col("n") - F.ceil((F.col("n") + least_m) * LINK_PERCENT / (100 + LINK_PERCENT)) + 1
+    rest = rest.join(rare, "class").withColumn("first", F.greatest(first - (F.col("n") - F.col("shared")), F.lit(0)).cast("int"))
+    rest = written(rest.select("class", "n", "root", "loose", F.slice("rare", 1, F.col("first"))["shingle"].alias("rare")), "rest")
+    more = written(_between(rest, sets), "more")
     if more.limit(1).count():
         forget(roots)
         roots = components(links.union(more))
-    for x in (buckets, sets, apt, hubs, placed, parts, hub_root):
+    for x in (buckets, sets, rare, apt, hubs, stars, placed, hub_root, rest):
         forget(x)
     return classes, roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
-    profiles = written(profile(docs).select("*"), "profiles")
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
+    profiles = written(profile(docs), "profiles")
     classes, roots = link_classes(docs, profiles)
     rooted = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "first_doc", F.coalesce("root", "class").alias("root"))
     rooted = written(rooted, "rooted")
     lows = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_class = written(rooted.join(written(lows, "lows"), "root").select("class", "component_id"), "of_class")
-    out = profiles.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    out = profiles.select("doc_id", "text_hash", "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
+    return _placed(docs).drop("text_hash")
 
 
 def _sql_words(alias: str) -> str:
