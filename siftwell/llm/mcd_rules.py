@@ -45,15 +45,18 @@ BROADCAST_GROUPS = 4096
 PLACES = 20
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """The counts of every whole text, with the group of its language and source."""
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """The counts of every whole text, with the group of its language and source; carry: and the row itself."""
+    row = ["row"] if carry else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     group = F.concat_ws("\x1f", F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group.alias("group"), text.alias("t"))
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
+    df = docs.select(*whole, F.col("doc_id").cast("long").alias("doc_id"), group.alias("group"), text.alias("t"))
     df = df.withColumn("trimmed", F.btrim("t", F.lit(SPACES)))
     df = df.withColumn("ws", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", GAP)))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda s: s.rlike(WORD)))
     df = df.select(
+        *row,
         "doc_id",
         "group",
         "ws",
@@ -104,7 +107,10 @@ def _repeats(df: DataFrame) -> DataFrame:
     wide_places = F.transform(F.filter("wide", lambda e, k: F.coalesce(bare(e) == bare(F.get("wide", k - 1)), F.lit(False)) | F.coalesce(bare(e) == bare(F.get("wide", k + 1)), F.lit(False))), lambda e: e["p"])
     df = df.withColumn("places", F.sort_array(F.when(fits, exact(F.col("keys"))).otherwise(wide_places)))
     covered = F.transform("places", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("places", i + 1) - p, F.lit(WINDOW))))
-    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("keys", "wide", "places")
+    counted = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
+    # A column that isn't deterministic, and that passing() reads, keeps filters on the counts above them;
+    # pushed below, they would count each text again for every mention of a column.
+    return df.withColumns({"n_repeat_words": counted, "stay": F.monotonically_increasing_id()}).drop("keys", "wide", "places")
 
 
 def _vector(df: DataFrame) -> DataFrame:
@@ -197,15 +203,41 @@ def estimates(eligible: DataFrame) -> DataFrame:
     return params
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, distance2 (null where the base rules fail) and kept of each row."""
+def _ruled(stats: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    stats = written(_vector(statistics(docs).withColumn("base_failed", failed)), "quality")
-    groups = written(stats.where(~F.col("base_failed")).groupBy("group").agg(F.count(F.lit(1)).alias("c")).select("group", F.when(F.col("c") >= MIN_GROUP, F.col("group")).otherwise(F.lit("*")).alias("key")), "groups")
+    return _vector(stats).withColumn("base_failed", failed)
+
+
+def _keyed(passed: DataFrame, groups: DataFrame) -> DataFrame:
     few = groups.count() <= BROADCAST_GROUPS
-    passed = stats.where(~F.col("base_failed")).join(F.broadcast(groups) if few else groups, "group")
-    params = estimates(passed.select("key", *DIMS))
-    judged = _distance(_with(passed, params, few)).withColumn("kept", F.col("d2") <= CUTOFF)
+    return passed.join(F.broadcast(groups) if few else groups, "group")
+
+
+def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(group and key, the estimates of each key, whether these are few) of ruled statistics."""
+    groups = stats.where(~F.col("base_failed")).groupBy("group").agg(F.count(F.lit(1)).alias("c"))
+    groups = written(groups.select("group", F.when(F.col("c") >= MIN_GROUP, F.col("group")).otherwise(F.lit("*")).alias("key")), "groups")
+    params = estimates(_keyed(stats.where(~F.col("base_failed")), groups).select("key", *DIMS))
+    return groups, params, params.count() <= BROADCAST_GROUPS
+
+
+def _judged(stats: DataFrame, fitted: tuple[DataFrame, DataFrame, bool]) -> DataFrame:
+    groups, params, few = fitted
+    passed = _keyed(stats.where(~F.col("base_failed")), groups)
+    return _distance(_with(passed, params, few)).withColumn("kept", F.col("d2") <= CUTOFF)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed, distance2 (null where the base rules fail) and kept of each row."""
+    stats = written(_ruled(statistics(docs)).drop("stay"), "quality")
+    judged = _judged(stats, fit(stats))
     counts = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     judged = judged.select(*counts, F.col("d2").alias("distance2"), "kept")
     return judged.unionByName(stats.where("base_failed").select(*counts, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept")))
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, as they are. Texts are counted twice rather than shuffled once."""
+    fitted = fit(written(_ruled(statistics(docs)).drop("stay"), "quality"))
+    stats = _ruled(statistics(docs, carry=True)).where(F.col("stay") >= 0)
+    return _judged(stats, fitted).where(F.col("kept") & (F.col("stay") >= 0)).select("row.*")

@@ -39,6 +39,8 @@ CROWDED = 3
 #: Shingles hashed at a time, so that the work stays in the cache.
 CHUNK = 1 << 15
 KNOWN_WORDS = 200_000
+#: Up to so many short rows of removed documents are broadcast (16 MB at most); beyond, they are joined.
+BROADCAST_ROWS = 200_000
 #: Shingles in a block of a component's members.
 BLOCK_SHINGLES = 1 << 14
 
@@ -310,6 +312,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _placed(docs).drop("text_hash")
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, as they are: of each component the document with the least id.
+
+    Rows that share both id and text are one document and stay or go together.
+    """
+    gone = written(_placed(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")
+
+
 def _sql_words(alias: str) -> str:
     return f"regexp_extract_all(translate({alias}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 

@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import best_fit, flac, license_index, mcd_rules, minmax_dedup, prefix_bpe, toxicity_chain, weak_pii
+from siftwell.llm import best_fit, flac, license_index, mcd_rules, minmax_dedup, prefix_bpe, quote_linking, toxicity_chain, url_filter, weak_pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is the canonical URLs of the pages whose id is divisible by 50; all pages are judged."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.listed_pages(pages))
+
+
 def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +72,8 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quote_linking": op1_quote_linking,
+    "op2_url_filter": op2_url_filter,
     "op3_mcd_rules": op3_mcd_rules,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_prefix_bpe": op5_prefix_bpe,
@@ -73,5 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quote_linking": quote_linking.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
     "op10_minmax_dedup": minmax_dedup.ORACLE,
 }

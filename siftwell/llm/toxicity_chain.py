@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.shared import forget, small_batches, written
@@ -191,29 +191,33 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
 
 
 def _scorer(chain: Chain, verdict: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = next(k for k, link in enumerate(chain.links) if link.category == verdict)
-        for batch in batches:
-            scored = [chain.scores(t.as_py()) for t in batch.column("__text")]
-            toxic = [s[last] > chain.links[last].threshold for s in scored]
-            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "__text"]
-            names = [n for n in batch.schema.names if n != "__text"]
-            columns += [pa.array([s[k] for s in scored], pa.float64()) for k in range(len(chain.links))] + [pa.array(toxic, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *[f"__p_{x.category}" for x in chain.links], "__rejected"])
+    last = next(k for k, link in enumerate(chain.links) if link.category == verdict)
+
+    def run(texts: pa.Array) -> pa.Array:
+        scored = [chain.scores(t.as_py()) for t in texts]
+        fields = {link.category: pa.array([s[k] for s in scored], pa.float64()) for k, link in enumerate(chain.links)}
+        fields["__rejected"] = pa.array([s[last] > chain.links[last].threshold for s in scored], pa.bool_())
+        return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 
     return run
 
 
-def score(docs: DataFrame, chain: Chain, keep: list[str], verdict: str) -> DataFrame:
-    """The kept columns, __p_ of each category and __rejected of each row of docs."""
-    small_batches(docs.sparkSession)
-    inner = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    more = ", ".join(f"`__p_{x.category}` double" for x in chain.links)
-    return inner.mapInArrow(_scorer(chain, verdict), f"{fields}, {more}, `__rejected` boolean")
+def scores(spark: SparkSession, chain: Chain, text: Column, verdict: str) -> Column:
+    """A struct of each category's probability and __rejected, by the verdict category's threshold."""
+    small_batches(spark)
+    kind = "struct<" + ",".join(f"`{x.category}`:double" for x in chain.links) + ",`__rejected`:boolean>"
+    return F.arrow_udf(_scorer(chain, verdict), kind)(text.cast("string"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, categories: list[str], verdict: str) -> DataFrame:
     """doc_id, p_ of each category, the verdict category as a boolean and kept, of each row of docs."""
-    scored = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), train(docs, labels, categories), ["doc_id"], verdict)
-    return scored.select("doc_id", *[F.col(f"__p_{c}").alias(f"p_{c}") for c in categories], F.col("__rejected").alias(verdict), (~F.col("__rejected")).alias("kept"))
+    chain = train(docs, labels, categories)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scores(docs.sparkSession, chain, F.col("text"), verdict).alias("s"))
+    rejected = F.col("s.__rejected")
+    return scored.select("doc_id", *[F.col("s")[c].alias(f"p_{c}") for c in categories], rejected.alias(verdict), (~rejected).alias("kept"))
+
+
+def passing(docs: DataFrame, labels: DataFrame, categories: list[str], verdict: str) -> DataFrame:
+    """The rows of docs that are kept, as they are."""
+    chain = train(docs, labels, categories)
+    return docs.where(~scores(docs.sparkSession, chain, F.col("text"), verdict)["__rejected"])
