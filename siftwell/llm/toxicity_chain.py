@@ -33,6 +33,8 @@ TRAIN_ROWS = 20_000
 TERMS = 192
 #: Rows of either class that a term must be in.
 MIN_ROWS = 5
+#: Standard errors that a term's log odds ratio must be from zero.
+MIN_Z = 4.0
 #: Letters of a word's beginning.
 BEGINNING = 5
 FOLDS = 5
@@ -157,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
         a, b = F.col(c) + 0.5, F.col("n") - F.col(c) + 0.5
         odds = F.log(a / (yes - F.col(c) + 0.5)) - F.log(b / (n - yes - (F.col("n") - F.col(c)) + 0.5))
         spread = F.sqrt(1 / a + 1 / (yes - F.col(c) + 0.5) + 1 / b + 1 / (n - yes - (F.col("n") - F.col(c)) + 0.5))
-        best = counts.select("term", F.abs(odds / spread).alias("z")).orderBy(F.desc("z"), "term").limit(TERMS)
+        best = counts.select("term", F.abs(odds / spread).alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(TERMS)
         picked[c] = [r["term"] for r in best.collect()]
         for t in picked[c]:
             index.setdefault(t, len(index))
