@@ -33,8 +33,8 @@ TRAIN_ROWS = 20_000
 TERMS = 192
 #: Rows of either class that a term must be in.
 MIN_ROWS = 5
-#: Standard errors that a term's log odds ratio must be from zero.
-MIN_Z = 4.0
+#: Least log-likelihood ratio of a term and a category: about four standard errors.
+MIN_RATIO = 16.0
 #: Letters of a word's beginning.
 BEGINNING = 5
 FOLDS = 5
@@ -137,6 +137,19 @@ def _rows(categories: list[str], index: dict[str, int]):
     return run
 
 
+def _ratio(both: Column, with_term: Column, in_class: int, total: int) -> Column:
+    """The log-likelihood ratio of term and class being independent, from how many rows have both, the term or the class."""
+    share = F.lit(0.0)
+    for seen, row, column in (
+        (both, with_term, in_class),
+        (with_term - both, with_term, total - in_class),
+        (in_class - both, total - with_term, in_class),
+        (total - in_class - with_term + both, total - with_term, total - in_class),
+    ):
+        share = share + F.when(seen > 0, seen * F.log(seen * total / (row * F.lit(column)))).otherwise(0.0)
+    return 2 * share
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     """A chain over 0/1 label columns, in their order, from docs (doc_id, text) and labels (doc_id, categories)."""
     small_batches(docs.sparkSession)
@@ -156,10 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     picked: dict[str, list[str]] = {}
     for c in categories:
         yes = totals[c] or 0
-        a, b = F.col(c) + 0.5, F.col("n") - F.col(c) + 0.5
-        odds = F.log(a / (yes - F.col(c) + 0.5)) - F.log(b / (n - yes - (F.col("n") - F.col(c)) + 0.5))
-        spread = F.sqrt(1 / a + 1 / (yes - F.col(c) + 0.5) + 1 / b + 1 / (n - yes - (F.col("n") - F.col(c)) + 0.5))
-        best = counts.select("term", F.abs(odds / spread).alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(TERMS)
+        best = counts.select("term", _ratio(F.col(c), F.col("n"), yes, n).alias("ratio")).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS)
         picked[c] = [r["term"] for r in best.collect()]
         for t in picked[c]:
             index.setdefault(t, len(index))
