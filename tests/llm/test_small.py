@@ -194,6 +194,14 @@ def test_chain_on_held_out_rows(spark):
     assert toxicity_chain.passing(table(spark, []), known, ["low_quality", "toxic"], "toxic").count() == 0
 
 
+def test_a_useless_model_rejects_nothing(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 40)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 0, int(rng.random() < 0.2)) for i in range(300)], "doc_id long, low_quality int, toxic int")
+    df = table(spark, rows)
+    assert toxicity_chain.passing(df, labels, ["low_quality", "toxic"], "toxic").count() == 300
+
+
 def test_later_links_train_on_out_of_fold_predictions(spark, monkeypatch):
     seen = []
     fit = toxicity_chain._fit
