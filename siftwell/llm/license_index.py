@@ -65,38 +65,35 @@ def _phrase_words() -> set[str]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, the places of licence words (place, word) where any way in is there, and words around."""
+    """doc_id, n_words, and the words where a way in is among them (else null)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.btrim(text, F.lit(EDGES)).alias("t"))
     ways = sorted((set(vocabulary()) - COMMON) | {p.split()[-1] for p in PHRASES})
-    # Words are of letters, digits and what isn't ASCII; a way in stands as a whole word.
-    way = r"(?i)(?<![0-9A-Za-z\u0080-\x{10FFFF}])(?:" + "|".join(ways) + r")(?![0-9A-Za-z\u0080-\x{10FFFF}])"
-    df = df.withColumn("ws", F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", GAP)))
-    df = df.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.col("t").rlike(way), F.transform("ws", lambda w: F.translate(w, UPPER, LOWER))).alias("ws"))
-    known = F.array(*[F.lit(w) for w in vocabulary()])
-    places = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("at"), F.when(F.array_contains(known, w), w).alias("word"))), lambda e: e["word"].isNotNull())
-    return df.select("doc_id", "n_words", F.coalesce(places, F.array().cast("array<struct<at:int,word:string>>")).alias("places"))
+    none = F.array().cast("array<string>")
+    # Full lower case finds at least the ways in, and parts words where they were parted.
+    df = df.withColumn("low", F.when(F.col("t") == "", none).otherwise(F.split(F.lower("t"), GAP)))
+    way = F.arrays_overlap("low", F.array(*[F.lit(w) for w in ways]))
+    return df.select("doc_id", F.size("low").cast("long").alias("n_words"), F.when(way, F.split(F.translate("t", UPPER, LOWER), GAP)).alias("ws"))
 
 
 def _frequencies(scanned: DataFrame) -> dict[str, int]:
     """In how many files each licence word is; a row for each word of the vocabulary at most."""
-    words = scanned.select(F.explode(F.array_distinct(F.col("places")["word"])).alias("word"))
+    known = F.array(*[F.lit(w) for w in vocabulary()])
+    words = scanned.where(F.col("ws").isNotNull()).select(F.explode(F.array_intersect("ws", known)).alias("word"))
     return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def _starts(phrase: str) -> Column:
     """Where a phrase's words stand consecutively."""
-    ws = phrase.split()
+    words = phrase.split()
 
-    def here(e: Column, i: Column) -> Column:
-        ok = e["word"] == ws[0]
-        for k, w in enumerate(ws[1:], 1):
-            nxt = F.get(F.col("places"), i + k)
-            ok = ok & F.coalesce((nxt["at"] == e["at"] + k) & (nxt["word"] == w), F.lit(False))
-        return ok
+    def here(w: Column, i: Column) -> Column:
+        ok = w == words[0]
+        for k, x in enumerate(words[1:], 1):
+            ok = ok & F.coalesce(F.get("ws", i + k) == x, F.lit(False))
+        return F.when(ok, i)
 
-    # All words of a phrase are licence words, so that its places are neighbours in the list too.
-    return F.transform(F.filter("places", here), lambda e: e["at"])
+    return F.array_compact(F.transform("ws", here))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -105,46 +102,45 @@ def judge(docs: DataFrame) -> DataFrame:
     df = _frequencies(scanned)
     rarity = sorted(set(vocabulary()), key=lambda w: (df.get(w, 0), w))
     rank = F.create_map(*[x for k, w in enumerate(rarity) for x in (F.lit(w), F.lit(k))])
-    # Each word's postings: template and place.
+    # Postings of the words that are ways in: template and place.
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, ws in enumerate(_templates()):
         for p, w in enumerate(ws):
-            postings.setdefault(w, []).append((t, p))
+            if w not in COMMON:
+                postings.setdefault(w, []).append((t, p))
     table = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
-    ways = F.array(*[F.lit(w) for w in sorted(set(postings) - COMMON)])
-    found = scanned.where(F.size("places") > 0)
-    rest = scanned.where(F.size("places") == 0)
+    found = scanned.where(F.col("ws").isNotNull())
+    rest = scanned.where(F.col("ws").isNull())
 
     for n, p in enumerate(PHRASES):
         found = found.withColumn(f"base{n}", _starts(p))
-    present = F.filter(F.array_distinct(F.col("places")["word"]), lambda w: F.array_contains(ways, w))
+    present = F.array_intersect("ws", F.array(*[F.lit(x) for x in sorted(postings)]))
     found = found.withColumn("rarest", F.slice(F.transform(F.array_sort(F.transform(present, lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda e: e["w"]), 1, RAREST))
-    # One hit for each word and posting; sorted, the hits of one alignment are neighbours.
-    hits = F.transform(
-        "places", lambda e: F.transform(table[e["word"]], lambda q: F.struct(q["t"].alias("t"), (e["at"] - q["p"]).alias("offset"), q["p"].alias("p"), F.array_contains("rarest", e["word"]).alias("rare")))
-    )
-    found = found.withColumn("hits", F.sort_array(F.flatten(hits)))
-
-    def opens(h: Column, i: Column) -> Column:
-        before = F.get("hits", i - 1)
-        return (i == 0) | (before["t"] != h["t"]) | (before["offset"] != h["offset"])
-
-    found = found.withColumn("opens", F.filter(F.transform("hits", lambda h, i: F.when(opens(h, i), i)), lambda i: i.isNotNull()))
-    run = F.transform("opens", lambda i, k: F.slice("hits", i + 1, F.coalesce(F.get("opens", k + 1), F.size("hits")) - i))
-    found = found.withColumn("runs", F.filter(run, lambda r: F.exists(r, lambda h: h["rare"])))
-    sizes = F.array(*[F.lit(float(len(ws))) for ws in _templates()])
+    # Each place of a rare word and each of its postings say where a template would begin.
+    # (The list is mentioned twice: a column mentioned once would be worked out anew inside, for every word.)
+    places = F.array_compact(F.transform("ws", lambda w, i: F.when(F.array_contains("rarest", w), F.struct(w.alias("w"), i.alias("at")))))
+    places = F.when(F.size("rarest") > 0, places).otherwise(F.array().cast("array<struct<w:string,at:int>>"))
+    begins = F.flatten(F.transform(places, lambda e: F.transform(table[e["w"]], lambda q: F.struct(q["t"].alias("t"), (e["at"] - q["p"]).alias("offset")))))
+    found = found.withColumn("begins", F.array_distinct(begins))
+    templates = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in _templates()])
     keys = []
     for t, ws in enumerate(_templates()):
         spans = [(next(i for i in range(len(ws)) if ws[i : i + len(k.split())] == k.split()), len(k.split())) for k in TEMPLATES[t][2]]
         keys.append(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in spans]))
     spans = F.array(*keys)
 
-    def aligned(r: Column) -> Column:
-        t = F.get(r, F.lit(0))["t"]
-        key = F.exists(F.get(spans, t), lambda k: F.size(F.filter(r, lambda h: (h["p"] >= k["a"]) & (h["p"] < k["a"] + k["n"]))) == k["n"])
-        return F.struct(t.alias("t"), (F.size(r) / F.get(sizes, t)).alias("score"), key.alias("key"))
+    def agreeing(e: Column) -> Column:
+        """The places of a template at which the file has its word."""
+        word = F.get(templates, e["t"])
+        return F.array_compact(F.transform(word, lambda w, p: F.when((e["offset"] + p >= 0) & (F.get("ws", e["offset"] + p) == w), p)))
+
+    found = found.withColumn("agree", F.transform("begins", lambda e: F.struct(e["t"].alias("t"), agreeing(e).alias("ps"))))
+
+    def aligned(e: Column) -> Column:
+        key = F.exists(F.get(spans, e["t"]), lambda k: F.size(F.filter(e["ps"], lambda p: (p >= k["a"]) & (p < k["a"] + k["n"]))) == k["n"])
+        return F.struct(e["t"].alias("t"), (F.size(e["ps"]) / F.size(F.get(templates, e["t"])).cast("double")).alias("score"), key.alias("key"))
 
-    found = found.withColumn("aligned", F.transform("runs", aligned))
+    found = found.withColumn("aligned", F.transform("agree", aligned))
     labels = F.array(*[F.lit(t[0]) for t in TEMPLATES])
     base = F.concat(*[F.col(f"base{n}") for n in range(len(PHRASES))])
     found = found.withColumn("base", base)
