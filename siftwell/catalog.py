@@ -400,12 +400,12 @@ SELECT coalesce(l.uri, k.uri) AS uri, coalesce(l.op, 'property') AS op, '[' || a
 )
 _add(
     "log_sessions",
-    lambda s, d: changes.sessions(tables.read(s, d, "events").select("user_id", "ts", F.col("event_id").alias("line")), "user_id").groupBy("user_id").agg(F.max("session").cast("long").alias("n_sessions")),
-    """WITH a AS (SELECT user_id, ts, event_id, epoch(date_trunc('second', ts)) AS sec, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-b AS (SELECT *, CASE WHEN before IS NULL OR sec - epoch(date_trunc('second', before)) > 21600 OR ts::DATE <> before::DATE THEN 1 ELSE 0 END AS fresh FROM a),
-c AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM b),
-e AS (SELECT user_id, run, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) // 50 AS part FROM c)
-SELECT user_id, count(DISTINCT (run, part)) AS n_sessions FROM e GROUP BY user_id""",
+    lambda s, d: changes.sessions(tables.read(s, d, "events").select("event_type", "ts", F.col("event_id").alias("line")), "event_type").groupBy("group").agg(F.count_distinct("session").alias("n_sessions")),
+    """WITH RECURSIVE a AS (SELECT event_type AS g, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+r(g, k, ts, begun, n, s) AS (SELECT g, k, ts, date_trunc('hour', ts), 1, 1 FROM a WHERE k = 1
+UNION ALL SELECT g, k, ts, CASE WHEN cut THEN ts ELSE begun END, CASE WHEN cut THEN 1 ELSE n + 1 END, s + cut::INT
+FROM (SELECT a.g, a.k, a.ts, r.begun, r.n, r.s, a.ts::DATE <> r.ts::DATE OR (r.n > 50 AND a.ts - r.begun > INTERVAL 360 MINUTE) AS cut FROM r JOIN a ON a.g = r.g AND a.k = r.k + 1))
+SELECT g AS group, max(s)::BIGINT AS n_sessions FROM r GROUP BY g""".replace("g AS group", 'g AS "group"'),
 )
 
 

@@ -7,9 +7,12 @@ All is expressed as joins on uri, so a batch touches the state once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.shipping import ship
+
 
 def coalesced(changes: DataFrame) -> DataFrame:
     """Of each URI the last add or remove, and the property changes after it that still count.
@@ -67,14 +70,28 @@ def child_properties(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def sessions(lines: DataFrame, group: str, most_lines: int = 50, most_minutes: int = 360) -> DataFrame:
-    """lines (group, ts, line) with a session number: a new day or a long pause begins one.
+    """group, ts, line and session (its day and number in it) of the lines (group, ts, line) of logs.
 
-    Sessions are also cut after most_lines, counted within what days and pauses part.
+    A session ends with its day, and with the first line that comes when it has more than most_lines lines and is
+    older than most_minutes. A log's first session begins with the hour of its first line. A day of a log
+    is worked on by itself, so neither a long log nor a busy group is gathered.
     """
-    w = Window.partitionBy(group).orderBy("ts", "line")
-    pause = (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))) > most_minutes * 60
-    new_day = F.to_date("ts") != F.to_date(F.lag("ts").over(w))
-    df = lines.withColumn("__new", F.when(F.coalesce(pause | new_day, F.lit(True)), 1).otherwise(0))
-    df = df.withColumn("__run", F.sum("__new").over(w))
-    inner = Window.partitionBy(group, "__run").orderBy("ts", "line")
-    return df.withColumn("__part", F.floor((F.row_number().over(inner) - 1) / most_lines)).withColumn("session", F.dense_rank().over(Window.partitionBy(group).orderBy("__run", "__part"))).drop("__new", "__run", "__part")
+    df = lines.select(F.col(group).cast("string").alias("group"), "ts", F.col("line").cast("long").alias("line"), F.to_date("ts").cast("string").alias("day"))
+    first = df.groupBy("group").agg(F.min("day").alias("first_day"))
+    df = df.join(first, "group").where(F.col("ts").isNotNull())
+
+    def cut(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("ts", "ascending"), ("line", "ascending")])
+        numbers, begin, n, number = [], None, 0, 1
+        fresh = table.column("day")[0].as_py() == table.column("first_day")[0].as_py()
+        for ts in table.column("ts").to_pylist():
+            if begin is None:
+                begin = ts.replace(minute=0, second=0, microsecond=0) if fresh else ts
+            elif n > most_lines and (ts - begin).total_seconds() > most_minutes * 60:
+                begin, n, number = ts, 0, number + 1
+            n += 1
+            numbers.append(f"{table.column('day')[0].as_py()}/{number}")
+        return pa.table({"group": table.column("group"), "ts": table.column("ts").cast(pa.timestamp("us", "UTC")), "line": table.column("line"), "session": pa.array(numbers, pa.string())})
+
+    ship(lines.sparkSession)
+    return df.groupBy("group", "day").applyInArrow(cut, "group string, ts timestamp, line long, session string")

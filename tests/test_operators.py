@@ -42,10 +42,10 @@ def test_coalesced(spark):
 
 
 def test_sessions(spark):
-    rows = [("x", f"2024-01-01 10:{i // 60:02d}:{i % 60:02d}", i) for i in range(60)] + [("x", "2024-01-01 23:00:00", 60), ("x", "2024-01-02 00:10:00", 61)]
+    rows = [("x", f"2024-01-01 10:{i // 60:02d}:{i % 60:02d}", i) for i in range(60)] + [("x", "2024-01-01 15:59:00", 60), ("x", "2024-01-01 16:00:01", 61), ("x", "2024-01-01 23:00:00", 62), ("x", "2024-01-02 00:10:00", 63)]
     df = spark.createDataFrame(rows, "g string, t string, line long").select("g", F.to_timestamp("t").alias("ts"), "line")
     got = {r["line"]: r["session"] for r in changes.sessions(df, "g").collect()}
-    assert [got[k] for k in (0, 49, 50, 59, 60, 61)] == [1, 1, 2, 2, 3, 4]
+    assert [got[k] for k in (0, 59, 60, 61, 62, 63)] == ["2024-01-01/1"] * 3 + ["2024-01-01/2"] * 2 + ["2024-01-02/1"]
 
 
 def test_snippet_context():
