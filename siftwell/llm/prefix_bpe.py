@@ -23,21 +23,23 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from operator import itemgetter
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.shared import small_batches
 
-#: Distinct words whose ids a worker keeps at most; it starts afresh beyond.
+#: Distinct words, and runs without a space, whose ids a worker keeps: twice as many at most.
 KNOWN_WORDS = 200_000
 #: Longer words are encoded each time.
 LONGEST_KNOWN = 64
 #: White space as the file's patterns mean it.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
+_COUNT, _IDS, _NAMES = itemgetter(0), itemgetter(1), itemgetter(2)
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENCODED = "doc_id long, ids array<int>"
 
@@ -50,6 +52,51 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Automaton:
+    """All tokens that end at a place of a word, the longest first, in one pass.
+
+    A state is the longest suffix read so far that some token begins with; shorter leads to the next shorter
+    suffix that is a token.
+    """
+
+    def __init__(self, tokens) -> None:
+        self.go: dict[int, int] = {}
+        self.token, self.shorter, self.suffix = [-1], [0], [0]
+        children: list[list[tuple[int, int]]] = [[]]
+        for letters, rank in tokens:
+            state = 0
+            for x in letters:
+                nxt = self.go.get(state << 10 | x)
+                if nxt is None:
+                    nxt = self.go[state << 10 | x] = len(self.token)
+                    children[state].append((x, nxt))
+                    children.append([])
+                    self.token.append(-1)
+                    self.shorter.append(0)
+                    self.suffix.append(0)
+                state = nxt
+            self.token[state] = rank
+        level = [s for _, s in children[0]]
+        while level:
+            below = []
+            for state in level:
+                for x, s in children[state]:
+                    self.suffix[s] = near = self.step(self.suffix[state], x)
+                    self.shorter[s] = near if self.token[near] >= 0 else self.shorter[near]
+                    below.append(s)
+            level = below
+
+    def step(self, state: int, letter: int) -> int:
+        go = self.go
+        while True:
+            nxt = go.get(state << 10 | letter)
+            if nxt is not None:
+                return nxt
+            if not state:
+                return 0
+            state = self.suffix[state]
+
+
 class Vocabulary:
     """A BPE vocabulary with word ends, read from a tokenizer file."""
 
@@ -78,33 +125,30 @@ class Vocabulary:
             made[a + b] = self.joined[made[a], made[b]] = len(self.ids)
             self.ids.append(vocab[a + b])
             self.halves.append((made[a], made[b]))
-        # A word's last letter is another letter than the same one elsewhere, so that all letters are single characters.
+        # A word's last letter is another letter than the same one elsewhere.
         letters = [t for t in made if self.halves[made[t]] is None]
-        self.letter = {t: chr(0x4E00 + k) for k, t in enumerate(letters)}
-        spelled = [self.letter[t] if self.halves[r] is None else "" for t, r in made.items()]
+        self.letter = {t: k for k, t in enumerate(letters)}
+        spelled: list[tuple[int, ...]] = [(self.letter[t],) if self.halves[r] is None else () for t, r in made.items()]
         for r, half in enumerate(self.halves):
             if half:
                 spelled[r] = spelled[half[0]] + spelled[half[1]]
-        self.automaton = ahocorasick.Automaton()
         self.size = [len(s) for s in spelled]
-        for r, s in enumerate(spelled):
-            self.automaton.add_word(s, r)
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.own = bytearray(b"\1" * len(spelled))
+        self.pairs: dict[int, bool] = {}
+        own = bytearray(b"\1" * len(spelled))
         for r in sorted(range(len(spelled)), key=self.size.__getitem__):
             if self.halves[r]:  # a token that its own text doesn't encode to is never made
-                self.own[r] = self._last(spelled[r], r)
+                own[r] = self._whole(own, r)
+        self.automaton = Automaton((s, r) for r, s in enumerate(spelled) if own[r])
         self.open, self.closed = self._letters("", byte_letters()), self._letters(self.end, byte_letters())
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.words, self.runs = Kept(), Kept()
 
-    def _letters(self, end: str, letters: list[str]) -> list[str]:
-        return [self.letter.get(x + end, "") for x in letters]
+    def _letters(self, end: str, letters: list[str]) -> list[int]:
+        return [self.letter[x + end] for x in letters]
 
-    def _last(self, spelled: str, whole: int) -> bool:
+    def _whole(self, own: bytearray, whole: int) -> bool:
         """If the two halves of a token are what its text is left with before its last merge, and that merge comes."""
         a, b = self.halves[whole]
-        return bool(self.own[a] and self.own[b] and self.compatible(a, b, whole))
+        return bool(own[a] and own[b] and self.compatible(a, b, whole))
 
     def compatible(self, a: int, b: int, below: int | None = None) -> bool:
         """If the text of a and b together is encoded as (a, b); with below, up to that merge only.
@@ -124,57 +168,70 @@ class Vocabulary:
             else:
                 limit, b = min(limit, b + 1), self.halves[b][0]
 
-    def _fits(self, a: int, b: int) -> bool:
-        key = (a, b)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 4 * KNOWN_WORDS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.compatible(a, b)
-        return found
-
-    def ranks(self, spelled: str) -> list[int]:
-        """The ranks of a spelled word's tokens."""
-        last: list[int] = [-1] * len(spelled)
-        for end, rank in self.automaton.iter(spelled):
-            if last[end] >= 0 or not self.own[rank]:
-                continue
-            start = end - self.size[rank]
-            if start < 0 or (last[start] >= 0 and self._fits(last[start], rank)):
-                last[end] = rank
-        out, at = [], len(spelled) - 1
+    def ranks(self, spelled: list[int]) -> list[int]:
+        """The ranks of a spelled word's tokens: the last one for each prefix, and then back from the end."""
+        last: list[int] = []
+        size, pairs, step, longest, shorter = self.size, self.pairs, self.automaton.step, self.automaton.token, self.automaton.shorter
+        state = 0
+        for end, letter in enumerate(spelled):
+            state = step(state, letter)
+            at = state if longest[state] >= 0 else shorter[state]
+            while True:
+                rank = longest[at]
+                start = end - size[rank]
+                if start < 0:
+                    break
+                key = last[start] << 20 | rank
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) > 4 * KNOWN_WORDS:
+                        pairs.clear()
+                    fits = pairs[key] = self.compatible(last[start], rank)
+                if fits:
+                    break
+                at = shorter[at]
+            last.append(rank)
+        out, at = [], len(last) - 1
         while at >= 0:
             out.append(last[at])
-            at -= self.size[last[at]]
+            at -= size[last[at]]
         return out[::-1]
 
     def word(self, word: str) -> list[int]:
         """The ids of one word."""
         data = word.encode("utf-8")
-        spelled = "".join([*map(self.open.__getitem__, data[:-1]), self.closed[data[-1]]])
+        spelled = [*map(self.open.__getitem__, data[:-1]), self.closed[data[-1]]]
         return [self.ids[r] for r in self.ranks(spelled)]
 
     def _of(self, word: str) -> tuple[int, str, str]:
-        ids = self.word(word)
-        found = (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
-        if len(word) <= LONGEST_KNOWN:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            self.known[word] = found
+        found = self.words.get(word)
+        if found is None:
+            ids = self.word(word)
+            found = self.words.put(word, (len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))))
+        return found
+
+    def _run(self, run: str) -> tuple[int, str, str]:
+        """What a run without a space has: how many tokens, their ids and their names."""
+        found = self.runs.get(run)
+        if found is None:
+            parts = [self._of(w) for w in _parts.findall(run)]
+            found = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+            self.runs.put(run, found)
         return found
 
     def entries(self, text: str) -> list[tuple[int, str, str]]:
-        """For each word of a text, how many tokens it has, their ids and their names."""
+        """For each run of a text, how many tokens it has, their ids and their names."""
         out = []
         for piece in _special(tuple(self.special)).split(text) if "<|" in text else (text,):
             if piece in self.special:
                 out.append((1, str(self.special[piece]), piece))
                 continue
-            known = self.known
-            for w in words(piece):
-                found = known.get(w)
-                out.append(found if found is not None else self._of(w))
-        return [x for x in out if x[0]]
+            runs = runs_of(piece)
+            found = list(map(self.runs.young.get, runs))
+            if None in found:
+                found = [self._run(r) if f is None else f for r, f in zip(runs, found)]
+            out += found
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.entries(text) for i in ids.split(" ")]
@@ -207,12 +264,36 @@ def _special(tokens: tuple[str, ...]) -> re.Pattern:
     return _splits[tokens]
 
 
-def words(text: str) -> list[str]:
-    """A text's words: composed, spaces made one, lower-cased letter by letter, split by the pattern."""
+def runs_of(text: str) -> list[str]:
+    """What stands between white space, composed and lower-cased letter by letter."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ")  # the lower case of this letter alone depends on its neighbours
-    return _parts.findall(_spaces.sub(" ", text).lower())
+    text = text.lower()
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() alone
+        return [r for r in _spaces.split(text) if r]
+    return text.split()
+
+
+class Kept:
+    """What was worked out lately: a young and an old table; what is used again stays."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
+
+    def get(self, key: str) -> tuple[int, str, str] | None:
+        found = self.young.get(key)
+        if found is None and key in self.old:
+            found = self.put(key, self.old[key])
+        return found
+
+    def put(self, key: str, value: tuple[int, str, str]) -> tuple[int, str, str]:
+        if len(key) <= LONGEST_KNOWN:
+            if len(self.young) >= KNOWN_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -231,9 +312,9 @@ def _digests(path: str):
             counts, ids_hash, text_hash = [], [], []
             for x in batch.column("text"):
                 found = vocab.entries(x.as_py() or "")
-                counts.append(sum(e[0] for e in found))
-                ids_hash.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(" ".join([e[2] for e in found]).encode()).hexdigest())
+                counts.append(sum(map(_COUNT, found)))
+                ids_hash.append(hashlib.sha256(" ".join(map(_IDS, found)).encode()).hexdigest())
+                text_hash.append(hashlib.sha256(" ".join(map(_NAMES, found)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
