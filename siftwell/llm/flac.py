@@ -29,7 +29,11 @@ from siftwell.llm.shared import small_batches
 BLOCK = 1024
 #: Frames worked on side by side.
 GROUP = 4096
+#: Frames whose samples are encoded at a time, so that they stay in the cache.
+NEAR = 128
 PAD = 64
+#: Zero bytes behind the frames: more than 16 samples can use up before the end is looked for.
+AHEAD = 128
 RATE = 8000
 MAX_RICE = 14
 #: Coefficients of the fixed predictors by order; fixed by the format.
@@ -52,7 +56,8 @@ def _crc_table(bits: int, poly: int) -> np.ndarray:
 
 _CRC8, _CRC16 = [int(x) for x in _crc_table(8, 0x07)], _crc_table(16, 0x8005)
 #: Leading zeros of 16 bits.
-_ZEROS = np.array([16 - v.bit_length() for v in range(1 << 16)], np.int64)
+_ZEROS = np.array([16 - v.bit_length() for v in range(1 << 16)], np.uint64)
+_1, _3, _7, _48, _63 = (np.uint64(x) for x in (1, 3, 7, 48, 63))
 
 
 def crc16(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -95,8 +100,23 @@ def _header(number: int, size: int) -> bytes:
     return head + bytes([_crc8(head)])
 
 
+def _packed(chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int) -> bytes:
+    """Bytes with values of up to 32 bits written at bit places: (place, value, width), none upon another.
+
+    Each value falls into two 32-bit words; sums of what falls into a word are exact, as no bits meet.
+    """
+    words = np.zeros(bits // 32 + 2)
+    for place, value, width in chunks:
+        if len(place):
+            shifted = value.astype(np.uint64) << (64 - width - (place & 31)).astype(np.uint64)
+            word = place >> 5
+            words += np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), len(words))
+            words += np.bincount(word + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), len(words))
+    return words.astype(">u4").tobytes()[: bits // 8]
+
+
 def _frames(samples: np.ndarray, sizes: np.ndarray, numbers: list[int]) -> list[bytes]:
-    """The frames of consecutive blocks of 8-bit samples."""
+    """The frames, but for their checksums, of consecutive blocks of 8-bit samples."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
     within = np.arange(len(samples)) - np.repeat(starts, sizes)
@@ -120,39 +140,37 @@ def _frames(samples: np.ndarray, sizes: np.ndarray, numbers: list[int]) -> list[
     total = np.where(constant, 8, np.where(plain, 8 * sizes, total)) + 8
     room = -(-total // 8) * 8
     at = np.cumsum(room) - room
-    out = np.zeros(int(room.sum()), np.uint8)
-
-    def put(pos: np.ndarray, values: np.ndarray, width: int) -> None:
-        for j in range(width):
-            out[pos + j] = (values >> (width - 1 - j)) & 1
-
-    put(at, np.where(constant, 0, np.where(plain, 0b10, (0b001000 | best) << 1)), 8)
-    put(at[constant] + 8, wide[starts[constant]] & 0xFF, 8)
     coded = ~constant & ~plain
-    put((at + 8 + 8 * best)[coded], np.where(coded, rice, 0)[coded], 10)  # method 0, one partition, its parameter
+    kind = np.where(constant, 0, np.where(plain, 0b10, (0b001000 | best) << 1))
     raw = np.repeat(plain, sizes) | (np.repeat(coded, sizes) & (within < of))
-    put(np.repeat(at + 8, sizes)[raw] + 8 * within[raw], wide[raw] & 0xFF, 8)
     rest = np.repeat(coded, sizes) & (within >= of)
     k = np.repeat(rice, sizes)[rest]
-    v = u[rest]
+    v = u[rest].astype(np.int64)
     q = v >> k
-    length = q + 1 + k
     full = np.zeros(len(samples), np.int64)
-    full[rest] = length
+    full[rest] = q + 1 + k
     before = np.cumsum(full) - full
-    pos = (np.repeat(at + 18 + 8 * best - before[starts], sizes) + before)[rest] + q
-    out[pos] = 1
-    for j in range(int(k.max()) if len(k) else 0):
-        has = k > j
-        out[pos[has] + 1 + j] = (v[has] >> (k[has] - 1 - j)) & 1
-    body = np.packbits(out).tobytes()
+    ends_at = (np.repeat(at + 18 + 8 * best - before[starts], sizes) + before)[rest] + q
+    chunks = [
+        (at, kind, np.full(len(at), 8)),
+        (at[constant] + 8, wide[starts[constant]] & 0xFF, np.full(int(constant.sum()), 8)),
+        ((at + 8 + 8 * best)[coded], rice[coded], np.full(int(coded.sum()), 10)),  # method 0, one partition, its parameter
+        (np.repeat(at + 8, sizes)[raw] + 8 * within[raw], wide[raw] & 0xFF, np.full(int(raw.sum()), 8)),
+        (ends_at, (v & ((1 << k) - 1)) | (1 << k), k + 1),
+    ]
+    body = _packed(chunks, int(room.sum()))
     cut, found = (at // 8).tolist() + [len(body)], []
     for i, (n, size) in enumerate(zip(numbers, sizes.tolist())):
         found.append(_header(n, size) + body[cut[i] : cut[i + 1]])
-    joined = np.frombuffer(b"".join(found), np.uint8)
-    spans = np.cumsum([len(f) for f in found])
-    sums = crc16(joined, spans - np.array([len(f) for f in found]), spans)
-    return [f + struct.pack(">H", c) for f, c in zip(found, sums.tolist())]
+    return found
+
+
+def _summed(frames: list[bytes]) -> list[bytes]:
+    """Frames with their checksums behind them."""
+    sizes = np.array([len(f) for f in frames])
+    ends = np.cumsum(sizes)
+    sums = crc16(np.frombuffer(b"".join(frames), np.uint8), ends - sizes, ends)
+    return [f + struct.pack(">H", c) for f, c in zip(frames, sums.tolist())]
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -160,9 +178,12 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     frames: list[list[bytes]] = [[] for _ in payloads]
     plan = [(i, n, p[a : a + BLOCK]) for i, p in enumerate(payloads) for n, a in enumerate(range(0, len(p), BLOCK))]
     for g in range(0, len(plan), GROUP):
-        part = plan[g : g + GROUP]
-        samples = (np.frombuffer(b"".join(b for _, _, b in part), np.uint8) ^ np.uint8(0x80)).view(np.int8)
-        for (i, _, _), f in zip(part, _frames(samples, np.array([len(b) for _, _, b in part]), [n for _, n, _ in part])):
+        part, made = plan[g : g + GROUP], []
+        for h in range(0, len(part), NEAR):
+            few = part[h : h + NEAR]
+            samples = (np.frombuffer(b"".join(b for _, _, b in few), np.uint8) ^ np.uint8(0x80)).view(np.int8)
+            made += _frames(samples, np.array([len(b) for _, _, b in few]), [n for _, n, _ in few])
+        for (i, _, _), f in zip(part, _summed(made)):
             frames[i].append(f)
     out = []
     for p, fs in zip(payloads, frames):
@@ -240,10 +261,9 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
     """Samples, ends and numbers of the frames that start at the given bytes of buf."""
     raw = buf.tobytes()
     heads = [_parsed(raw[s : s + 16], b) for s, b in zip(starts, blocks)]
-    padded = np.concatenate((buf, np.zeros(16, np.uint8))).astype(np.uint64)
-    window = np.zeros(len(buf) + 8, np.uint64)
-    for j in range(8):
-        window |= padded[j : j + len(window)] << np.uint64(56 - 8 * j)
+    padded = np.concatenate((buf, np.zeros(AHEAD + 8, np.uint8)))
+    # The 64 bits from each byte on: an array whose items overlap.
+    window = np.ndarray((len(buf) + AHEAD,), ">u8", padded, strides=(1,)).astype(np.uint64)
     order = sorted(range(len(starts)), key=lambda i: -heads[i][1])
     n = np.array([heads[i][1] for i in order])
     p = np.array([8 * (starts[i] + heads[i][2]) for i in order], np.int64)
@@ -271,7 +291,7 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
         raise ValueError("a subframe of an unknown kind")
     lag = np.where(fixed, kind & 7, np.where(linear, (kind & 31) + 1, 0))
     most = int(n.max())
-    out = np.zeros((most, len(order)), np.int64)
+    out = np.zeros((most, len(order)), np.int32)
     same = np.flatnonzero(kind == 0)
     if len(same):
         out[:, same] = signed(take(depth[same], same), depth[same])
@@ -298,42 +318,73 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
     if len(coded):
         width[coded] = 4 + take(2, coded)
         each[coded] = n[coded] >> take(4, coded)
-    active = coded
-    predicted = bool(lag.any())
-    for t in range(most if len(coded) else 0):
-        if len(active) and n[active[-1]] <= t:
-            active = active[n[active] > t]
-        turn = active[lag[active] <= t] if predicted and t < 32 else active
-        fresh = turn[(t == lag[turn]) | (t % each[turn] == 0)] if t < 32 or len(each) and (t % each[turn] == 0).any() else turn[:0]
-        if len(fresh):
-            rice[fresh] = take(width[fresh], fresh)
-            if (rice[fresh] == (1 << width[fresh]) - 1).any():
-                raise ValueError("an escaped partition")
-        k = rice[turn]
-        at = p[turn]
-        w = window[np.minimum(at >> 3, len(window) - 1)] << (at & 7).astype(np.uint64)
-        q = _ZEROS[(w >> np.uint64(48)).astype(np.int64)]
+    # The frames with residuals, longest first, so that those still running are the first ones.
+    place, param, own_lag, lengths, parts_of = p[coded].astype(np.uint64), rice[coded].astype(np.uint64), lag[coded], n[coded], each[coded]
+    rows = np.zeros((most if len(coded) else 0, len(coded)), np.int32)
+    latest = int(own_lag.max()) if len(coded) else 0
+    rows[:latest] = out[:latest, coded]
+    turns = {int(x) for x in own_lag}  # steps at which a partition's parameter is read
+    for size in np.unique(parts_of):
+        turns.update(range(0, most, max(1, int(size))))
+    own_coef, own_shift, own_width = coef[coded], shift[coded], width[coded]
+    predicted = bool(latest)
+    live = len(coded)
+    for t in range(len(rows)):
+        while live and lengths[live - 1] <= t:
+            live -= 1
+        turn: np.ndarray | slice = slice(0, live) if t >= latest else np.flatnonzero(own_lag[:live] <= t)
+        if t in turns:
+            now = np.arange(live)[turn]
+            fresh = now[(t == own_lag[now]) | (t % parts_of[now] == 0)]
+            if len(fresh):
+                p[coded[fresh]] = place[fresh].astype(np.int64)
+                param[fresh] = take(own_width[fresh], coded[fresh]).astype(np.uint64)
+                place[fresh] = p[coded[fresh]].astype(np.uint64)
+                if (param[fresh].astype(np.int64) == (1 << own_width[fresh]) - 1).any():
+                    raise ValueError("an escaped partition")
+        k, at = param[turn], place[turn]
+        if not t & 15 and len(at) and int(at.max()) > limit:
+            raise ValueError("a frame ends too soon")
+        w = window[at >> _3] << (at & _7)
+        q = _ZEROS.take((w >> _48).view(np.int64))
         long = np.flatnonzero(q == 16)
-        while len(long):  # long runs of zeros, 16 at a time
-            if int(at[long].max()) > limit:
-                raise ValueError("a frame ends too soon")
+        if len(long):
+            going = long
+            while len(going):  # runs of zeros, 16 at a time
+                far = at[going] + q[going]
+                if int(far.max()) > limit:
+                    raise ValueError("a frame ends too soon")
+                more = _ZEROS[(window[far >> _3] << (far & _7)) >> _48]
+                q[going] += more
+                going = going[more == 16]
             far = at[long] + q[long]
-            more = _ZEROS[((window[np.minimum(far >> 3, len(window) - 1)] << (far & 7).astype(np.uint64)) >> np.uint64(48)).astype(np.int64)]
-            q[long] += more
-            if int(q[long].max()) > limit:
+            if int(far.max()) > limit:
                 raise ValueError("a frame ends too soon")
-            long = long[more == 16]
-        at = at + q + 1
-        w = window[np.minimum(at >> 3, len(window) - 1)] << (at & 7).astype(np.uint64)
-        v = (q << k) | ((w >> np.uint64(1)) >> (63 - k).astype(np.uint64)).astype(np.int64)
-        p[turn] = at + k
-        s = (v >> 1) ^ -(v & 1)
+            w[long] = window[far >> _3] << (far & _7)
+            used = q + _1
+            skip = used.copy()
+            skip[long] = 1
+        else:
+            used = skip = q + _1
+        v = (q << k) | (((w << skip) >> _1) >> (_63 - k))
+        place[turn] = at + used + k
+        value = (v >> _1).view(np.int64) ^ -(v & _1).view(np.int64)
         if predicted:
-            some = np.flatnonzero(lag[turn])
-            for top in ((int(lag[turn[some]].max()),) if len(some) else ()):
-                back = out[max(0, t - top) : t, turn[some]][::-1]
-                s[some] += (back * coef[turn[some], : len(back)].T).sum(axis=0) >> shift[turn[some]]
-        out[t, turn] = s
+            now = np.arange(live)[turn]
+            some = np.flatnonzero(own_lag[now])
+            if len(some):
+                top = int(own_lag[now[some]].max())
+                back = rows[max(0, t - top) : t, now[some]][::-1].astype(np.int64)
+                value[some] += (back * own_coef[now[some], : len(back)].T).sum(axis=0) >> own_shift[now[some]]
+        rows[t, turn] = value
+    if len(coded):
+        if int(place.max()) > limit:
+            raise ValueError("a frame ends too soon")
+        p[coded] = place.astype(np.int64)
+        if len(coded) == len(order):
+            out = rows
+        else:
+            out[:, coded] = rows
     ends = (p + 7) // 8
     if len(ends) and int(ends.max()) + 2 > len(buf):
         raise ValueError("a frame ends too soon")
