@@ -1,10 +1,12 @@
 """License scans by a positional index of rare template words.
 
-Of a file's words that a licence template has, those of the highest inverse document frequency over
-all files are looked up in the templates' postings (word, place). Each place in the file less the
-place in the template is an offset; the offset that most words agree on aligns the template. The
-score is the share of the template's words that stand where they should; a template is found when
-the score reaches MIN_SCORE and one of its key phrases stands within the alignment.
+Of each key phrase of a licence template, the word of the highest inverse document frequency over all
+files is looked up in the templates' postings (word, place), wherever a file has it. Each place in the
+file less the place in the template is an offset; the offset that most words agree on aligns the
+template. The score is the share of the template's words that stand where they should; a template is
+found when the score reaches MIN_SCORE and one of its key phrases stands within the alignment. An
+alignment with a key phrase has that phrase's rarest word at its place, so none is missed, however many
+notices a file holds.
 
 Base places, where a fixed phrase's words stand consecutively, are found in every text besides and
 give their labels whatever the templates say.
@@ -46,8 +48,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 MIN_SCORE = 0.8
-#: How many of a file's rarest licence words are looked up.
-RAREST = 8
 #: Template words that ordinary prose is full of; they count for the score but are no way in.
 COMMON = {"the", "this", "is", "a", "of", "to", "and", "or", "in", "it", "any", "you", "can", "are", "with", "by", "under", "use", "work", "all", "person", "free", "into", "form", "forms", "public", "version", "code", "source", "0", "2", "3", "4"}
 
@@ -60,6 +60,12 @@ def vocabulary() -> list[str]:
     return sorted({w for t in _templates() for w in t})
 
 
+def _key_spans(t: int) -> list[tuple[int, int]]:
+    """Place and number of words of each key phrase of a template."""
+    ws = TEMPLATES[t][1].split()
+    return [(next(i for i in range(len(ws)) if ws[i : i + len(k.split())] == k.split()), len(k.split())) for k in TEMPLATES[t][2]]
+
+
 def _phrase_words() -> set[str]:
     return {w for p in PHRASES for w in p.split()}
 
@@ -100,34 +106,25 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the best alignments."""
     scanned = written(scan(docs), "licenses")
     df = _frequencies(scanned)
-    rarity = sorted(set(vocabulary()), key=lambda w: (df.get(w, 0), w))
-    rank = F.create_map(*[x for k, w in enumerate(rarity) for x in (F.lit(w), F.lit(k))])
-    # Postings of the words that are ways in: template and place.
+    # Postings of each key phrase's rarest word: template and place.
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, ws in enumerate(_templates()):
-        for p, w in enumerate(ws):
-            if w not in COMMON:
-                postings.setdefault(w, []).append((t, p))
+        for start, n in _key_spans(t):
+            p = min((p for p in range(start, start + n) if ws[p] not in COMMON), key=lambda p: (df.get(ws[p], 0), ws[p]))
+            postings.setdefault(ws[p], []).append((t, p))
     table = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
     found = scanned.where(F.col("ws").isNotNull())
     rest = scanned.where(F.col("ws").isNull())
 
     for n, p in enumerate(PHRASES):
         found = found.withColumn(f"base{n}", _starts(p))
-    present = F.array_intersect("ws", F.array(*[F.lit(x) for x in sorted(postings)]))
-    found = found.withColumn("rarest", F.slice(F.transform(F.array_sort(F.transform(present, lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda e: e["w"]), 1, RAREST))
     # Each place of a rare word and each of its postings say where a template would begin.
-    # (The list is mentioned twice: a column mentioned once would be worked out anew inside, for every word.)
-    places = F.array_compact(F.transform("ws", lambda w, i: F.when(F.array_contains("rarest", w), F.struct(w.alias("w"), i.alias("at")))))
-    places = F.when(F.size("rarest") > 0, places).otherwise(F.array().cast("array<struct<w:string,at:int>>"))
+    places = F.array_compact(F.transform("ws", lambda w, i: F.when(w.isin(sorted(postings)), F.struct(w.alias("w"), i.alias("at")))))
+    places = F.when(F.arrays_overlap("ws", F.array(*[F.lit(w) for w in sorted(postings)])), places).otherwise(F.array().cast("array<struct<w:string,at:int>>"))
     begins = F.flatten(F.transform(places, lambda e: F.transform(table[e["w"]], lambda q: F.struct(q["t"].alias("t"), (e["at"] - q["p"]).alias("offset")))))
-    found = found.withColumn("begins", F.array_distinct(begins))
+    found = found.withColumn("begins", begins)
     templates = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in _templates()])
-    keys = []
-    for t, ws in enumerate(_templates()):
-        spans = [(next(i for i in range(len(ws)) if ws[i : i + len(k.split())] == k.split()), len(k.split())) for k in TEMPLATES[t][2]]
-        keys.append(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in spans]))
-    spans = F.array(*keys)
+    spans = F.array(*[F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in _key_spans(t)]) for t in range(len(TEMPLATES))])
 
     def agreeing(e: Column) -> Column:
         """The places of a template at which the file has its word."""

@@ -366,6 +366,27 @@ def test_license_templates(spark):
     assert got[99]["labels"] == "" and got[98]["labels"] == ""
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    rng = random.Random(8)
+    notices = [t for _, t, _ in license_index.TEMPLATES]
+    texts = [notices[1] + " All rights reserved.", "Licensed under CC BY-NC 4.0. " + notices[1], " ... ".join(notices), "license " * 3000 + "all rights reserved"]
+    texts += [" and then ".join(w for n in rng.sample(notices, 4) for w in [" ".join(x for x in n.split() if rng.random() < 0.95)]) for _ in range(30)]
+    got = {r["doc_id"]: r for r in license_index.judge(table(spark, [*enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        words, labels, score = re.findall(r"[0-9a-z]+", text.lower()), set(), 0.0
+        labels |= {label for phrase, label in license_index.PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
+        for label, notice, keys in license_index.TEMPLATES:
+            t = notice.split()
+            for at in range(-len(t), len(words)):
+                same = [0 <= at + p < len(words) and words[at + p] == w for p, w in enumerate(t)]
+                spans = [(a, len(k.split())) for k in keys for a in range(len(t)) if t[a : a + len(k.split())] == k.split()]
+                if any(all(same[a : a + n]) for a, n in spans):
+                    score = max(score, sum(same) / len(t))
+                    labels |= {label} if sum(same) / len(t) >= license_index.MIN_SCORE else set()
+        assert (got[i]["labels"], got[i]["score"]) == (",".join(sorted(labels)), score), text
+    assert got[0]["labels"] == "mit,reserved" and got[1]["labels"] == "cc-by-nc,mit"
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
