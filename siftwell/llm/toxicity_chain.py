@@ -7,7 +7,8 @@ a later model doesn't lean on what an earlier one has learnt by heart.
 The models are fitted on at most TRAIN_ROWS labelled rows, taken in the order of a hash of their ids;
 all rows are scored over their whole texts. A model's terms are the words and word beginnings that
 differ most between the two classes, TERMS of each category. The threshold of each category is the
-one that does best out of fold while most of what it rejects is rightly rejected.
+one that does best out of fold while rejections are clearly likelier in the category than outside it.
+That is a comparison with the base rate, so labels that miss part of a category don't rule it out.
 
 Hostile cases: a null or blank text has no terms and gets the base rate; null labels and labels
 without a document aren't used; of a document's repeated labels the highest counts; without both
@@ -38,8 +39,9 @@ MIN_RATIO = 16.0
 #: Letters of a word's beginning.
 BEGINNING = 5
 FOLDS = 5
-#: Share of right verdicts among the rejections out of fold; a model that can't reach it rejects nothing.
-MIN_PRECISION = 0.9
+#: How many times likelier a rejection out of fold must be in the category than outside it; a model that can't reach it,
+#: or reaches it on too few rows for MIN_RATIO, rejects nothing.
+MIN_LIFT = 4.0
 PENALTY = 1.0
 NEWTON_ROUNDS = 12
 
@@ -102,13 +104,24 @@ def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -35, 35)))
 
 
+def _dependence(hit: np.ndarray, taken: np.ndarray, yes: float, total: int) -> np.ndarray:
+    """The log-likelihood ratio of rejections and category being independent."""
+    share = np.zeros(len(hit))
+    for seen, row, column in ((hit, taken, yes), (taken - hit, taken, total - yes), (yes - hit, total - taken, yes), (total - yes - taken + hit, total - taken, total - yes)):
+        some = seen > 0
+        share[some] += seen[some] * np.log(seen[some] * total / (row[some] * column))
+    return 2 * share
+
+
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the best F1 with MIN_PRECISION, midway to the next prediction; beyond all if there is none."""
+    """The threshold of the best F1 with MIN_LIFT and MIN_RATIO, midway to the next prediction; beyond all if there is none."""
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     taken = np.arange(1, len(p) + 1)
-    f1 = 2 * hit / (taken + y.sum())
-    ends = np.append(p[order][1:] != p[order][:-1], True) & (hit >= MIN_PRECISION * taken)
+    yes, no = y.sum(), len(p) - y.sum()
+    f1 = 2 * hit / (taken + yes)
+    ends = np.append(p[order][1:] != p[order][:-1], True) & (hit * no >= MIN_LIFT * (taken - hit) * yes)
+    ends &= _dependence(hit, taken, yes, len(p)) >= MIN_RATIO
     if not ends.any():
         return 2.0
     k = int(np.argmax(np.where(ends, f1, -1)))

@@ -202,6 +202,24 @@ def test_a_useless_model_rejects_nothing(spark):
     assert toxicity_chain.passing(df, labels, ["low_quality", "toxic"], "toxic").count() == 300
 
 
+def test_threshold_survives_missed_labels():
+    for missed in (0.0, 0.05, 0.1, 0.12, 0.15, 0.3):
+        for seed in range(20):
+            rng = np.random.default_rng(seed)
+            truth = rng.random(4000) < 0.11
+            p = 1 / (1 + np.exp(-np.where(truth, rng.normal(3, 1, 4000), rng.normal(-3, 1, 4000))))
+            rejected = p > toxicity_chain._threshold(p, (truth & (rng.random(4000) >= missed)).astype(float))
+            assert rejected[truth].mean() >= 0.95 and rejected[~truth].mean() <= 0.02, (missed, seed)
+
+
+def test_threshold_of_scores_without_signal_rejects_nothing():
+    for share in (0.02, 0.1, 0.3, 0.5):
+        for seed in range(50):
+            rng = np.random.default_rng(seed)
+            p, y = rng.random(4000), (rng.random(4000) < share).astype(float)
+            assert toxicity_chain._threshold(p, y) == 2.0, (share, seed)
+
+
 def test_later_links_train_on_out_of_fold_predictions(spark, monkeypatch):
     seen = []
     fit = toxicity_chain._fit
