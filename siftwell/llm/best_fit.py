@@ -3,9 +3,9 @@
 Texts longer than the largest capacity are cut into pieces. Pieces are dealt by a hash of their
 id into shards of about SHARD_PIECES, as many as the input needs, and each shard is packed by itself:
 longest first, a piece goes into the open bin that it leaves the least room in. Where none has room, a
-bin is opened whose capacity costs least for what is still to be packed: the cost of a capacity over the
-share of it that the remaining pieces can fill. At last each bin becomes the smallest capacity that
-holds its contents.
+bin is opened whose capacity costs least a token: each capacity is filled on trial with the longest
+remaining pieces that fit, and its cost is shared by what that packs. At last each bin becomes the
+smallest capacity that holds its contents.
 
 Hostile cases: a null or empty text has length 0 and makes no piece; rows with equal or null ids are
 rows of their own; ties are broken by id and place, so results don't depend on how rows are dealt; an
@@ -14,7 +14,8 @@ empty table gives an empty result; further columns aren't read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,27 +53,40 @@ class _Rooms:
             insort(self.rooms, (room, number))
 
 
+def _trial(at: int, room: int, falling: list[int], sums: list[int]) -> int:
+    """How much of a room the pieces from a place on fill, longest first; falling: sizes below zero, sums: of those before."""
+    filled = 0
+    while (at := bisect_left(falling, filled - room, at)) < len(falling):
+        # A run of pieces that all fit; each run takes at least half of the room, so there are few.
+        end = bisect_right(sums, sums[at] + room - filled, at) - 1
+        filled += sums[end] - sums[at]
+        at = end
+    return filled
+
+
 def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[tuple[int, int, int]]:
     """(bin, its capacity, offset) of each piece; sizes must not exceed the largest capacity."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     capacities = tuple(sorted(capacities))
-    left, rooms = sum(sizes), _Rooms()
+    falling, rooms = [-sizes[i] for i in order], _Rooms()
+    sums = [0, *accumulate(sizes[i] for i in order)]
     filled: list[int] = []
-    limit: list[int] = []
     where: list[tuple[int, int]] = [(0, 0)] * len(sizes)
-    for i in order:
+
+    def share(c: int, at: int) -> tuple[float, int]:
+        """What a token costs in a bin of capacity c that the piece at a place opens; the bin is downsized at last."""
+        holds = _trial(at, c, falling, sums)
+        return bin_cost(capacities[bisect_left(capacities, holds)]) / holds, c
+
+    for at, i in enumerate(order):
         size = sizes[i]
         found = rooms.best(size)
         if found is None:
-            fits = [c for c in capacities if c >= size]
-            choice = min(fits, key=lambda c: (bin_cost(c) / min(c, max(left, size)), c))
-            found = (choice, len(filled))
+            found = (min(share(c, at) for c in capacities[bisect_left(capacities, size) :])[1], len(filled))
             filled.append(0)
-            limit.append(choice)
         room, number = found
         where[i] = (number, filled[number])
         filled[number] += size
-        left -= size
         rooms.put(room - size, number)
     final = [capacities[bisect_left(capacities, f)] for f in filled]
     return [(number, final[number], offset) for number, offset in where]

@@ -357,6 +357,21 @@ def test_pack_takes_the_tightest_bin():
     assert sum(sizes) / sum(used.values()) > 0.97
 
 
+def test_pack_weighs_capacities():
+    def cost(sizes):
+        return sum(best_fit.bin_cost(c) for c in {b: c for b, c, _ in best_fit.pack(sizes)}.values())
+
+    # Just above a capacity: three, or a few of the next, share a larger bin at less than a bin each.
+    assert {c for _, c, _ in best_fit.pack([5000] * 300)} == {16384} and cost([5000] * 300) == 100 * best_fit.bin_cost(16384)
+    for capacity in best_fit.CAPACITIES[:-2]:
+        for extra in (1, 50, capacity // 4):
+            alone = best_fit.bin_cost(2 * capacity)
+            assert cost([capacity + extra] * 240) < 240 * alone, (capacity, extra)
+    # The last bin gets what is left and is downsized.
+    assert [c for _, c, _ in best_fit.pack([5000] * 4)] == [16384] * 3 + [8192]
+    assert [c for _, c, _ in best_fit.pack([2000] * 3)] == [2048] * 3
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
