@@ -1,10 +1,10 @@
 """PII by weak supervision: labelers vote on spans, expectation-maximisation weighs them, a classifier decides.
 
 Base kinds (email, ip, card, phone) are found by pattern and check in every whole text, whatever the
-model says. Beyond these, each run of non-space characters that has a digit or an ``@`` and no base span in it is
-a candidate. Labelers of three sorts vote for, against or abstain: patterns (key-like hexadecimal or
-mixed runs, long digit runs, plain short numbers), gazetteers (prefixes of issued keys, host names) and context
-(words before it). Votes make patterns, of which there are at most 3 ** LABELERS whatever the input;
+model says. Texts are cut at these, at white space and at the signs of CUTS; of what is between, each run
+that has a digit or an ``@`` or follows an asking word is a candidate. Labelers of three sorts vote for, against
+or abstain: patterns (key-like hexadecimal or mixed runs, long digit runs, plain short numbers), a gazetteer
+(prefixes of issued keys) and context (words before it). Votes make patterns, of which there are at most 3 ** LABELERS whatever the input;
 expectation-maximisation over the patterns' counts gives each labeler's reliability and each pattern's
 posterior. The final classifier is a logistic regression on the candidates' own features (not the votes),
 fitted to the posteriors gathered by feature pattern; of these there are at most 2 ** FEATURES.
@@ -37,8 +37,10 @@ PATTERNS = {
 }
 #: What a text must have at least for a pattern to be tried.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: A candidate of the method: a run with a digit or an at sign.
-RUN = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: What ends a candidate: white space, quotes and the signs between the fields of JSON, CSV, lists and query strings.
+CUTS = r"\x20\x09-\x0D\"'`,;:=&"
+#: A candidate of the method: a run with a digit or an at sign; the padding of a long one belongs to it.
+RUN = rf"(?:\G|(?<![^{CUTS}]))[^{CUTS}0-9@]*+[0-9@][^{CUTS}]*+(?:(?<=[A-Za-z0-9+/]{{16}})={{1,2}}+(?![^{CUTS}]))?+"
 EXTRA = "secret"
 #: Code points before a candidate that context labelers read.
 BEFORE = 48
@@ -48,6 +50,9 @@ ASKING = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "
 PLAIN = ["version", "page", "chapter", "figure", "fig", "table", "section", "vol", "no", "by-nc", "item", "line", "step", "part"]
 PREFIXES = ["sk-", "pk-", "ghp_", "gho_", "akia", "asia", "xoxb-", "xoxp-", "aiza", "ya29.", "glpat-", "eyj"]
 ASKS = r"(?i)(?:^|[^a-z])(?:" + "|".join(ASKING) + r")[\x20\x09]*[:=\"'\x20\x09]*$"
+#: An asking word and the run after it, unless that asks itself; what is before the run.
+ASKER = r"(?i)(?<![a-z])(?:" + "|".join(ASKING) + r")[:=\"'\x20\x09]++"
+ASKED = ASKER + "(?!(?:" + "|".join(ASKING) + r")[:=\"'\x20\x09])" + f"[^{CUTS}]++"
 TELLS = r"(?i)(?:^|[^a-z])(?:" + "|".join(PLAIN) + r")\.?[\x20\x09]*$"
 
 #: Votes: 1 for, 0 against, 2 abstains.
@@ -59,11 +64,9 @@ EM_ROUNDS, FIT_ROUNDS, STEP, PENALTY = 30, 400, 0.5, 1e-3
 ACCEPT = 0.5
 
 
-def _spans(text: Column, kind: str) -> Column:
+def _spans(text: Column, pattern: str, hint: str) -> Column:
     """(start, end, match) of all matches of a pattern, leftmost and apart."""
-    pattern = PATTERNS.get(kind, RUN)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(text.rlike(HINTS.get(kind, r"[0-9@]")), found)
+    return F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def _placed(text: Column, matches: Column, pattern: str) -> Column:
@@ -118,18 +121,45 @@ def _cut(kind: str):
 _NONE = "array<struct<s:int,e:int,m:string>>"
 
 
+def _with(df: DataFrame, name: str, text: str, pattern: str, hint: str) -> DataFrame:
+    """df with the placed matches of a pattern in one of its texts."""
+    df = df.withColumn(f"{name}_m", _spans(F.col(text), pattern, hint))
+    some = F.size(F.coalesce(F.col(f"{name}_m"), F.array().cast("array<string>"))) > 0
+    return df.withColumn(name, F.when(some, _placed(F.col(text), F.col(f"{name}_m"), pattern)).otherwise(F.array().cast(_NONE))).drop(f"{name}_m")
+
+
+def _blanked(text: Column) -> Column:
+    """The text with as many commas in the places of taken, which is in order."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start, end = F.greatest(a["at"], x["s"]), F.greatest(a["at"], x["e"])
+        put = F.concat(F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit(","), end - start))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(put)).alias("out"))
+
+    done = F.aggregate("taken", zero, step)
+    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+
+
 def _found(df: DataFrame) -> DataFrame:
     """df (with t, a text) and its base spans by kind and candidates, in arrays."""
-    for kind in (*KINDS, EXTRA):
-        df = df.withColumn(f"{kind}_m", _spans(F.col("t"), kind))
-        some = F.size(F.coalesce(F.col(f"{kind}_m"), F.array().cast("array<string>"))) > 0
-        df = df.withColumn(kind, F.when(some, _placed(F.col("t"), F.col(f"{kind}_m"), PATTERNS.get(kind, RUN))).otherwise(F.array().cast(_NONE))).drop(f"{kind}_m")
+    for kind in KINDS:
+        df = _with(df, kind, "t", PATTERNS[kind], HINTS[kind])
     for kind in KINDS:
         df = df.withColumn(kind, F.filter(kind, _check(kind)))
-    df = df.withColumn("taken", F.flatten(F.array(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS])))
-    # Candidates that meet a base span are already decided; both lists are ordered, but base spans are few.
-    free = F.filter(EXTRA, lambda x: ~F.exists("taken", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    df = df.withColumn(EXTRA, F.when(F.size("taken") > 0, free).otherwise(F.col(EXTRA)))
+    df = df.withColumn("taken", F.array_sort(F.flatten(F.array(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS]))))
+    # Base spans are blanked by a sign that cuts but doesn't ask; places stay as they are.
+    df = df.withColumn("free", F.when(F.size("taken") > 0, _blanked(F.col("t"))).otherwise(F.col("t")))
+    df = _with(df, EXTRA, "free", RUN, r"[0-9@]")
+    df = _with(df, "asked", "free", ASKED, ASKER)
+
+    def run(x: Column) -> Column:
+        m = F.regexp_replace(x["m"], "^" + ASKER, "")
+        return F.struct((x["e"] - F.length(m)).alias("s"), x["e"].alias("e"), m.alias("m"))
+
+    # Runs with a digit or an at sign are among the others.
+    asked = F.filter(F.transform("asked", run), lambda x: ~x["m"].rlike("[0-9@]"))
+    df = df.withColumn(EXTRA, F.when(F.size("asked") > 0, F.array_sort(F.concat(EXTRA, asked))).otherwise(F.col(EXTRA))).drop("asked", "free")
     # Quotes and stops around a run aren't of it.
     head, tail = r"^[\"'(\[{<,;:]+", r"[\"')\]}>,;:.!?]+$"
 

@@ -306,6 +306,27 @@ def test_secrets_are_found_and_redacted(spark):
     assert [r["text"] for r in weak_pii.redact(table(spark, [(1, None), (2, "")])).collect()] == [None, ""]
 
 
+def test_secrets_beside_other_fields_are_found(spark):
+    rng = random.Random(9)
+    forms = ['{{"email":"joe{i}@x.example.com","api_key":"{k}","n":{i}}}', "ip=10.0.0.{i},token={k},page=3", "{i},joe{i}@x.example.com,{k},x", "https://x.example.com/?user=joe{i}@x.example.com&token={k}&n=2", "😀 joe{i}@x.example.com;key={k}"]
+    keys = [f"ghp_{rng.getrandbits(160):040x}" for _ in range(100)]
+    rows = [(i, forms[i % len(forms)].format(i=i, k=k)) for i, k in enumerate(keys)]
+    found = {r["doc_id"]: r["spans"].split(",") for r in weak_pii.detect(table(spark, rows)).collect()}
+    for i, t in rows:
+        at = t.index(keys[i])
+        assert [x for x in found[i] if x.startswith("secret:")] == [f"secret:{at}:{at + 44}"], (t, found[i])
+    for r in weak_pii.redact(table(spark, rows)).collect():
+        assert r["text"] == re.sub(r"joe\d+@x.example.com", "[EMAIL]", re.sub(r"10\.0\.0\.\d+", "[IP]", rows[r["doc_id"]][1].replace(keys[r["doc_id"]], "[SECRET]")))
+
+
+def test_runs_after_asking_words_are_candidates(spark):
+    texts = ["password: correcthorsebattery", 'a "secret":"swordfish", token = secret: hidden', "joe@x.example.com,password=staple", "the monkey bars", "password: joe@x.example.com and so on", "key=QUJDREVGR0hJSktMTU5P1Q== end"]
+    df = weak_pii._found(table(spark, enumerate(texts)).select("doc_id", F.col("text").alias("t")))
+    got = {r["doc_id"]: [(x["m"], texts[r["doc_id"]][x["s"] : x["e"]]) for x in r["secret"]] for r in df.collect()}
+    want = [["correcthorsebattery"], ["swordfish", "hidden"], ["staple"], [], [], ["QUJDREVGR0hJSktMTU5P1Q=="]]
+    assert got == {i: [(w, w) for w in ws] for i, ws in enumerate(want)}
+
+
 def test_expectation_maximisation_finds_reliable_labelers():
     rng = random.Random(8)
     counts = {}
