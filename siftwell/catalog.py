@@ -473,7 +473,7 @@ _add(
 
 # --- snippets -----------------------------------------------------------------------------------------------------------------------
 
-_add("snippet", lambda s, d: rank.recent(_hits(s, d, "thing")[0], 20).select("uri", snippets.snippets(F.col("text"), ["thing"]).cast("string").alias("snippet")))
+_add("snippet", lambda s, d: _hits(s, d, "thing")[0].select("uri", snippets.snippets(F.col("text"), ["thing"]).cast("string").alias("snippet")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

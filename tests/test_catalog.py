@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from siftwell import catalog
+from siftwell.functions.analysis import MAX_FIELD_LENGTH, SIMPLE
+from siftwell.operators import snippets
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,3 +32,13 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF_DIR).count() >= 0
+
+
+def test_snippets_of_all_hits(spark, duck):
+    want = {}
+    for i, text in duck.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        if "thing" in SIMPLE.terms(text)[:MAX_FIELD_LENGTH]:
+            lines = [f"{{{x['line']}, [" + ", ".join(f"{{{f['term']}, {f['text']}}}" for f in x["fragments"]) + "]}" for x in snippets.snippet(text, ["thing"])]
+            want[f"doc:{i}"] = "[" + ", ".join(lines) + "]"
+    got = catalog.QUERIES["snippet"](spark, SF_DIR).collect()
+    assert len(got) == len(want) > 20 and {r["uri"]: r["snippet"] for r in got} == want
