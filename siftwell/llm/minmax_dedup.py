@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bloom
-from siftwell.llm.shared import forget, slices, small_batches, written
+from siftwell.llm.shared import counted, even_join, forget, slices, small_batches, written
 
 SHINGLE = 5
 LINK_PERCENT = 75
@@ -39,6 +39,8 @@ CROWDED = 3
 #: Shingles hashed at a time, so that the work stays in the cache.
 CHUNK = 1 << 15
 KNOWN_WORDS = 200_000
+#: Classes that a task remembers having given the set of.
+KNOWN_CLASSES = 200_000
 #: Up to so many short rows of removed documents are broadcast (16 MB at most); beyond, they are joined.
 BROADCAST_ROWS = 200_000
 #: Shingles in a block of a component's members.
@@ -144,11 +146,18 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met: set[bytes] = set()
     for batch in batches:
         for _, sets in _texts(batch):
-            sets = [s for s in sets if len(s)]
+            rows = []
+            for s in sets:
+                c = _class(s)
+                if c and c not in met:  # of copies in a task one is enough
+                    rows.append((c, len(s), s.view(np.int64)))
+                    if len(met) < KNOWN_CLASSES:
+                        met.add(c)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
                 ["class", "n", "shingles"],
             )
 
@@ -160,10 +169,12 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    sa = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(sa, "a").join(sb, "b").withColumn("inter", F.size(F.array_intersect("sa", "sb")))
+    """The pairs (a, b) whose full sets are similar enough; pairs is written. A hub's many pairs are dealt out."""
+    n, both = pairs.count(), pairs
+    for x in "ab":
+        own = sets.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+        both = even_join(both, own, x, counted(pairs, x), n)
+    both = both.withColumn("inter", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * LINK_PERCENT).select("a", "b")
 
 
@@ -171,33 +182,39 @@ def components(links: DataFrame) -> DataFrame:
     """node, root: the least node that each node of links (a, b) reaches.
 
     Roots fall by neighbours' roots and by roots of roots until nothing changes; the tables of each
-    round are written, so a lost executor costs a round at most.
+    round are written, so a lost executor costs a round at most. Nodes of many links, and roots of many
+    nodes, are dealt out.
     """
     links = links.where(F.col("a") != F.col("b"))
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
+    n_links, degrees = both.count(), counted(both, "b")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "roots")
+    n_nodes = roots.count()
     while True:
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
+        near = even_join(both, roots.select(F.col("node").alias("b"), "root"), "b", degrees, n_links).groupBy("a").agg(F.min("root").alias("low"))
         lower = written(roots.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", "low").alias("via")), "lower")
         up = lower.select(F.col("node").alias("via"), F.col("via").alias("top"))
-        nxt = written(lower.join(up, "via", "left").select("node", "was", F.least("via", "top").alias("root")), "roots")
+        many = counted(lower, "via")
+        nxt = written(even_join(lower, up, "via", many, n_nodes, "left").select("node", "was", F.least("via", "top").alias("root")), "roots")
         moved = nxt.where(F.col("was") != F.col("root")).limit(1).count()
-        forget(roots)
-        forget(lower)
+        forget(roots, lower, many)
         roots = nxt
         if not moved:
             break
-    forget(both)
+    forget(both, degrees)
     out = roots.select("node", "root")
     out.written_path = roots.written_path
     return out
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """bucket, class, n, crowd, least_n of all buckets with two classes or more."""
+def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(buckets, crowds, n): bucket, class, n, crowd and least_n of all buckets with two classes or more, how many
+    classes each has (n_rows), and how many rows there are."""
     members = classes.select(F.explode("bands").alias("bucket"), "class", "n")
-    counts = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd"), F.min("n").alias("least_n")).where("crowd > 1"), "counts")
-    return written(members.join(counts, "bucket"), "buckets")
+    crowds = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"), F.min("n").alias("least_n")).where("n_rows > 1"), "crowds")
+    n = crowds.agg(F.sum("n_rows").alias("n")).first()["n"] or 0
+    found = even_join(members, crowds.withColumn("crowd", F.col("n_rows")).drop("n_rows"), "bucket", crowds.select("bucket", "n_rows"), n)
+    return written(found, "buckets"), crowds.select("bucket", "n_rows"), n
 
 
 def _rare(crowded: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,12 +223,11 @@ def _rare(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     n - ceil(LINK_PERCENT % of n) + 1: two similar enough sets have one of these in common."""
     rows = written(sets.join(crowded.select("class").distinct(), "class", "left_semi").select("class", "n", F.explode("shingles").alias("shingle")), "shingles")
     more = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "repeated")
-    found = rows.join(more, "shingle").groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
+    found = even_join(rows, more, "shingle", more.select("shingle", F.col("df").alias("n_rows")), rows.count()).groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rare"))
     single = F.col("n") - F.size("rare")
     first = F.col("n") - F.ceil(F.col("n") * LINK_PERCENT / 100) + 1
     out = written(found.select("class", F.size("rare").alias("shared"), F.slice("rare", 1, F.greatest(first - single, F.lit(0)).cast("int")).alias("rare")), "rare")
-    forget(rows)
-    forget(more)
+    forget(rows, more)
     return out
 
 
@@ -221,15 +237,17 @@ def _between(rest: DataFrame, sets: DataFrame) -> DataFrame:
     The members of a component make blocks of about BLOCK_SHINGLES; a loose class meets each block once
     that has one of its rare shingles, and only links come out of that.
     """
-    sizes = written(rest.groupBy("root").agg(F.sum("n").alias("total")), "sizes")
+    sizes = written(rest.groupBy("root").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_rows")), "sizes")
+    many = sizes.select("root", "n_rows")
     block = F.concat_ws("-", F.hex("root"), F.pmod(F.xxhash64("class"), F.ceil(F.col("total") / BLOCK_SHINGLES)))
-    blocked = written(rest.join(sizes, "root").select("class", "n", "root", "loose", "rare", block.alias("block")), "blocked")
+    blocked = written(even_join(rest, sizes.select("root", "total"), "root", many, rest.count()).select("class", "n", "root", "loose", "rare", block.alias("block")), "blocked")
     there = blocked.select("root", "block", F.explode("rare").alias("shingle")).distinct()
     loose = blocked.where("loose").select(F.col("class").alias("a"), F.col("root").alias("root_a"), F.explode("rare").alias("shingle"))
     meets = written(loose.join(there, "shingle").where(F.col("root") != F.col("root_a")).select("a", "block").distinct(), "meets")
     blocks = blocked.select("class", "block").join(meets.select("block").distinct(), "block", "left_semi").join(sets, "class")
     blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("class", "n", "shingles")).alias("members"))
-    ends = meets.join(sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a").join(blocks, "block")
+    ends = meets.join(sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+    ends = even_join(ends, blocks, "block", counted(meets, "block"), meets.count())
 
     def linked(y):
         inter = F.size(F.array_intersect(F.col("sa"), y["shingles"]))
@@ -243,9 +261,9 @@ def _between(rest: DataFrame, sets: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, roots): classes of equal sets with first_doc, and the component root of the linked ones."""
     classes = written(
-        profiles.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")), "classes"
+        profiles.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n_rows")), "classes"
     )
-    buckets = _buckets(classes)
+    buckets, crowds, n_members = _buckets(classes)
     wanted = written(classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "text_hash"), "wanted")
     blooms = bloom.build(wanted, "text_hash")
     texts = bloom.probe(docs.select(F.col("text").cast("string").alias("text")), F.xxhash64("text"), blooms, "maybe").where("maybe").select("text")
@@ -266,7 +284,7 @@ def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataF
     def similar_size(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * LINK_PERCENT
 
-    stars = apt.join(hubs, "bucket").where((F.col("hub") != F.col("class")) & similar_size("n", "hub_n"))
+    stars = even_join(apt, hubs, "bucket", crowds, n_members).where((F.col("hub") != F.col("class")) & similar_size("n", "hub_n"))
     stars = written(stars.select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), "pairs")
     links = written(_confirmed(stars, sets), "stars")
     roots = components(links)
@@ -280,7 +298,7 @@ def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataF
     parts = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
     hub_root = hubs.join(parts, "bucket").join(roots, F.col("hub") == F.col("node"), "left").select("bucket", F.coalesce("root", "hub").alias("hub_root"))
     hub_root = written(hub_root, "hub_roots")
-    rest = placed.join(hub_root, "bucket").groupBy("class").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least_n").alias("least_n"), F.max(F.col("root") != F.col("hub_root")).alias("loose"))
+    rest = even_join(placed, hub_root, "bucket", crowds, n_members).groupBy("class").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least_n").alias("least_n"), F.max(F.col("root") != F.col("hub_root")).alias("loose"))
     least_m = F.greatest("least_n", F.ceil(F.col("n") * LINK_PERCENT / 100))
     first = F.col("n") - F.ceil((F.col("n") + least_m) * LINK_PERCENT / (100 + LINK_PERCENT)) + 1
     rest = rest.join(rare, "class").withColumn("first", F.greatest(first - (F.col("n") - F.col("shared")), F.lit(0)).cast("int"))
@@ -289,8 +307,7 @@ def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataF
     if more.limit(1).count():
         forget(roots)
         roots = components(links.union(more))
-    for x in (buckets, sets, rare, apt, hubs, stars, placed, hub_root, rest):
-        forget(x)
+    forget(buckets, sets, rare, apt, hubs, stars, links, placed, hub_root, rest, more)
     return classes, roots
 
 
@@ -298,13 +315,16 @@ def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
     profiles = written(profile(docs), "profiles")
     classes, roots = link_classes(docs, profiles)
-    rooted = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "first_doc", F.coalesce("root", "class").alias("root"))
+    rooted = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "first_doc", "n_rows", F.coalesce("root", "class").alias("root"))
     rooted = written(rooted, "rooted")
-    lows = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_class = written(rooted.join(written(lows, "lows"), "root").select("class", "component_id"), "of_class")
-    out = profiles.select("doc_id", "text_hash", "n_shingles", "class").join(of_class, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    lows = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n_rows")), "lows")
+    of_class = even_join(rooted, lows.select("root", "component_id"), "root", lows.select("root", "n_rows"), rooted.count())
+    of_class = written(of_class.select("class", "component_id", "n_rows"), "of_class")
+    some = profiles.where(F.col("class").isNotNull()).select("doc_id", "text_hash", "n_shingles", "class")
+    out = even_join(some, of_class.select("class", "component_id"), "class", of_class.select("class", "n_rows"), profiles.count()).drop("class")
+    empty = profiles.where(F.col("class").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    forget(classes, roots, rooted, lows)
+    return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold; texts may be long, so batches are kept small.
-BATCH_ROWS = 512
+from siftwell.shipping import ship
+
+#: Rows and bytes that an Arrow batch may hold; texts may be long, so batches are kept small.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: A key that more than one in so many rows have is hot, so there are fewer hot keys than this.
+HOT_SHARE = 4096
+#: Rows that a key may have without being hot, however few rows there are.
+HOT_LEAST = 512
 #: Bytes of text that one vectorised step works on at a time.
 SLICE_BYTES = 4 << 20
 
@@ -21,50 +25,75 @@ WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+    """df as a Parquet table in the shared folder: cuts lineage and outlives executors.
+
+    Tables are in a folder of the application. Those that a result is read from can't be forgotten before it is;
+    the folder goes when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/siftwell-{spark.sparkContext.applicationId}"
+    at, files = _path(spark, folder)
+    files.deleteOnExit(at)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_path = path
     return back
 
 
-def forget(df: DataFrame | None) -> None:
-    """Delete a table of written() that no later step reads."""
-    path = getattr(df, "written_path", None)
-    if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-_shipped: set[str] = set()
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables of written() that no later step reads."""
+    for df in tables:
+        path = getattr(df, "written_path", None)
+        if path:
+            at, files = _path(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Before a Python stage: keep Arrow batches small, as a few texts can be very long, and send this
-    package to executors that don't have it installed."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        top = Path(__file__).resolve().parent.parent
-        at = Path(tempfile.mkdtemp(prefix="siftwell-")) / "siftwell_package.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, str(Path(top.name) / f.relative_to(top)))
-        sc.addPyFile(str(at))
-        _shipped.add(sc.applicationId)
+    package to executors that don't have it installed. Smaller batches that are set already stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+    ship(spark)
+
+
+def even_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows joined with table by key, the rows of a hot key dealt to several copies of its rows in table.
+
+    counts (key, n_rows): how many of the n rows have a key; keys that aren't hot may be missing. At most
+    HOT_SHARE short rows of hot keys are broadcast, and as many rows of table copied again.
+    """
+    most = max(HOT_LEAST, n // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("n_rows") > most).select(key, F.ceil(F.col("n_rows") / most).cast("int").alias("__deals")))
+    deals = F.coalesce("__deals", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("__deal", F.pmod(F.monotonically_increasing_id(), deals).cast("int")).drop("__deals")
+    table = table.join(hot, key, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("__deals")
+    return rows.join(table, [key, "__deal"], how).drop("__deal")
+
+
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    """The written counts for even_join() of the keys that can be hot."""
+    return written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > HOT_LEAST), "hot")
 
 
 def ascii_lower(text: Column) -> Column:
