@@ -3,14 +3,17 @@
 Base kinds (email, ip, card, phone) are found by pattern and check in every whole text, whatever the
 model says. Texts are cut at these, at white space and at the signs of CUTS; of what is between, each run
 that has a digit or an ``@`` or follows an asking word is a candidate. Labelers of three sorts vote for, against
-or abstain: patterns (key-like hexadecimal or mixed runs, long digit runs, plain short numbers), a gazetteer
-(prefixes of issued keys) and context (words before it). Votes make patterns, of which there are at most 3 ** LABELERS whatever the input;
+or abstain: patterns (key-like hexadecimal or mixed runs, long digit runs, plain short numbers), gazetteers
+(prefixes of issued keys, countries of bank accounts) and context (words before it). Votes make patterns, of
+which there are at most 3 ** LABELERS whatever the input;
 expectation-maximisation over the patterns' counts gives each labeler's reliability and each pattern's
 posterior. The final classifier is a logistic regression on the candidates' own features (not the votes),
 fitted to the posteriors gathered by feature pattern; of these there are at most 2 ** FEATURES.
 Counts cover all candidates; only the two bounded tables come to the driver.
 
-Spans are (kind, start, end) in code points, end exclusive.
+Spans are (kind, start, end) in code points, end exclusive. Inside, a span also has its place in bytes, by which a
+part of a text is cut out without counting from its beginning; so the work is in proportion to a text
+and its matches, however many there are.
 
 Hostile cases: a null text is an empty one, without spans; no candidates at all leave the model at its
 priors; runs of any length are scanned once; repeated rows count each; an empty table gives an empty
@@ -49,6 +52,7 @@ BEFORE = 48
 ASKING = ["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "credential", "auth", "bearer", "passport", "ssn", "iban", "account", "license_key"]
 PLAIN = ["version", "page", "chapter", "figure", "fig", "table", "section", "vol", "no", "by-nc", "item", "line", "step", "part"]
 PREFIXES = ["sk-", "pk-", "ghp_", "gho_", "akia", "asia", "xoxb-", "xoxp-", "aiza", "ya29.", "glpat-", "eyj"]
+COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM TN TR UA VA VG XK".split()
 ASKS = r"(?i)(?:^|[^a-z])(?:" + "|".join(ASKING) + r")[\x20\x09]*[:=\"'\x20\x09]*$"
 #: An asking word and the run after it, unless that asks itself; what is before the run.
 ASKER = r"(?i)(?<![a-z])(?:" + "|".join(ASKING) + r")[:=\"'\x20\x09]++"
@@ -56,7 +60,7 @@ ASKED = ASKER + "(?!(?:" + "|".join(ASKING) + r")[:=\"'\x20\x09])" + f"[^{CUTS}]
 TELLS = r"(?i)(?:^|[^a-z])(?:" + "|".join(PLAIN) + r")\.?[\x20\x09]*$"
 
 #: Votes: 1 for, 0 against, 2 abstains.
-LABELERS = ("key_like", "digits", "short", "issued", "asked", "told")
+LABELERS = ("key_like", "digits", "short", "issued", "country", "asked", "told")
 FEATURES = ("long", "very_long", "digits_many", "letters", "hex", "punctuated", "mixed", "edge")
 #: Reliability that a labeler starts with, how likely a candidate is one, and rounds of each fit.
 START, PRIOR = 0.8, 0.2
@@ -64,23 +68,66 @@ EM_ROUNDS, FIT_ROUNDS, STEP, PENALTY = 30, 400, 0.5, 1e-3
 ACCEPT = 0.5
 
 
+#: Values that one array is made of by adding to it, which copies it each time.
+CHUNK = 256
+
+
+def _let(x: Column, then) -> Column:
+    """then(x), where x is worked out once."""
+    return F.transform(F.array(x), then)[0]
+
+
+def _before(values: Column, merge) -> Column:
+    """For each whole number, what merge (a sum, or the greatest) makes of zero and those before it."""
+
+    def run(part: Column, first: Column) -> Column:
+        none = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, none, lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def whole(vs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(vs), F.lit(1)), F.lit(CHUNK))
+        return _let(F.transform(starts, lambda k: F.slice(vs, k, CHUNK)), merged)
+
+    def merged(chunks: Column) -> Column:
+        firsts = run(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), merge)), F.lit(0))
+        return F.flatten(F.zip_with(chunks, firsts, run))
+
+    return _let(values, whole)
+
+
+def _sum(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def _most(a: Column, x: Column) -> Column:
+    return F.greatest(a, x)
+
+
 def _spans(text: Column, pattern: str, hint: str) -> Column:
-    """(start, end, match) of all matches of a pattern, leftmost and apart."""
+    """The matches of a pattern, leftmost and apart."""
     return F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def _placed(text: Column, matches: Column, pattern: str) -> Column:
     """The matches with their places: a match begins where the texts between and the matches before end."""
-    between = F.transform(F.split(text, pattern), lambda x: F.length(x))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("m"))
+    between = F.slice(F.split(text, pattern), 1, F.size(matches))
+    pairs = F.zip_with(between, matches, lambda x, m: F.struct(F.length(x).alias("gap"), F.octet_length(x).alias("byte_gap"), F.length(m).alias("n"), F.octet_length(m).alias("bytes"), m.alias("m")))
+
+    def put(x: Column, at: Column) -> Column:
+        start, byte = at["at"] + x["gap"], at["byte"] + x["byte_gap"]
+        return F.struct(start.alias("s"), (start + x["n"]).alias("e"), byte.alias("b"), (byte + x["bytes"]).alias("f"), x["m"].alias("m"))
+
+    def placed(ps: Column) -> Column:
+        at = _before(F.transform(ps, lambda x: x["gap"] + x["n"]), _sum)
+        byte = _before(F.transform(ps, lambda x: x["byte_gap"] + x["bytes"]), _sum)
+        return F.zip_with(ps, F.zip_with(at, byte, lambda a, b: F.struct(a.alias("at"), b.alias("byte"))), put)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
+    return _let(pairs, placed)
 
-    return F.aggregate(pairs, zero, step)["out"]
+
+def _bytes(data: Column, start: Column, end: Column) -> Column:
+    """The text between two places in bytes."""
+    return F.substring(data, start + 1, end - start).cast("string")
 
 
 def _digits(m: Column) -> Column:
@@ -115,10 +162,10 @@ def _named(kind: str):
 
 
 def _cut(kind: str):
-    return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind.upper()).alias("k"))
+    return lambda x: F.struct(x["b"].alias("b"), x["f"].alias("f"), F.lit(f"[{kind.upper()}]").alias("k"))
 
 
-_NONE = "array<struct<s:int,e:int,m:string>>"
+_NONE = "array<struct<s:int,e:int,b:int,f:int,m:string>>"
 
 
 def _with(df: DataFrame, name: str, text: str, pattern: str, hint: str) -> DataFrame:
@@ -128,17 +175,20 @@ def _with(df: DataFrame, name: str, text: str, pattern: str, hint: str) -> DataF
     return df.withColumn(name, F.when(some, _placed(F.col(text), F.col(f"{name}_m"), pattern)).otherwise(F.array().cast(_NONE))).drop(f"{name}_m")
 
 
-def _blanked(text: Column) -> Column:
-    """The text with as many commas in the places of taken, which is in order."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _rebuilt(text: Column, taken: Column, put) -> Column:
+    """The text with put(span, end of those before it) for each span of taken (b, f in bytes), which is in order."""
+
+    def run(data: Column, spans: Column) -> Column:
+        ends = _before(F.transform(spans, lambda x: x["f"]), _most)
+
+        def piece(x: Column, end: Column) -> Column:
+            return F.concat(_bytes(data, end, F.greatest(end, x["b"])), put(x, end))
 
-    def step(a: Column, x: Column) -> Column:
-        start, end = F.greatest(a["at"], x["s"]), F.greatest(a["at"], x["e"])
-        put = F.concat(F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit(","), end - start))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(put)).alias("out"))
+        parts = F.zip_with(spans, ends, piece)
+        last = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["f"]))
+        return F.concat(F.array_join(parts, ""), _bytes(data, last, F.octet_length(data)))
 
-    done = F.aggregate("taken", zero, step)
-    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    return _let(text.cast("binary"), lambda data: _let(taken, lambda spans: run(data, spans)))
 
 
 def _found(df: DataFrame) -> DataFrame:
@@ -147,30 +197,34 @@ def _found(df: DataFrame) -> DataFrame:
         df = _with(df, kind, "t", PATTERNS[kind], HINTS[kind])
     for kind in KINDS:
         df = df.withColumn(kind, F.filter(kind, _check(kind)))
-    df = df.withColumn("taken", F.array_sort(F.flatten(F.array(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS]))))
-    # Base spans are blanked by a sign that cuts but doesn't ask; places stay as they are.
-    df = df.withColumn("free", F.when(F.size("taken") > 0, _blanked(F.col("t"))).otherwise(F.col("t")))
+    df = df.withColumn("taken", F.array_sort(F.flatten(F.array(*[F.transform(k, lambda x: F.struct(x["b"].alias("b"), x["f"].alias("f"))) for k in KINDS]))))
+    # Base spans, which are ASCII, are blanked by a sign that cuts but doesn't ask; places stay as they are.
+    blanks = _rebuilt(F.col("t"), F.col("taken"), lambda x, end: F.repeat(F.lit(","), F.greatest(x["f"], end) - F.greatest(x["b"], end)))
+    df = df.withColumn("free", F.when(F.size("taken") > 0, blanks).otherwise(F.col("t")))
     df = _with(df, EXTRA, "free", RUN, r"[0-9@]")
     df = _with(df, "asked", "free", ASKED, ASKER)
 
     def run(x: Column) -> Column:
         m = F.regexp_replace(x["m"], "^" + ASKER, "")
-        return F.struct((x["e"] - F.length(m)).alias("s"), x["e"].alias("e"), m.alias("m"))
+        return F.struct((x["e"] - F.length(m)).alias("s"), x["e"].alias("e"), (x["f"] - F.octet_length(m)).alias("b"), x["f"].alias("f"), m.alias("m"))
 
     # Runs with a digit or an at sign are among the others.
     asked = F.filter(F.transform("asked", run), lambda x: ~x["m"].rlike("[0-9@]"))
     df = df.withColumn(EXTRA, F.when(F.size("asked") > 0, F.array_sort(F.concat(EXTRA, asked))).otherwise(F.col(EXTRA))).drop("asked", "free")
-    # Quotes and stops around a run aren't of it.
+    # Quotes and stops around a run aren't of it; all of them are ASCII.
     head, tail = r"^[\"'(\[{<,;:]+", r"[\"')\]}>,;:.!?]+$"
 
-    def bare(x: Column) -> Column:
-        left = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], head, ""))
-        kept = F.regexp_replace(F.regexp_replace(x["m"], head, ""), tail, "")
-        start = x["s"] + left
-        before = F.substring(F.col("t"), F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
-        return F.struct(start.alias("s"), (start + F.length(kept)).alias("e"), kept.alias("m"), before.alias("before"))
+    def bare(data: Column, x: Column) -> Column:
+        inner = F.regexp_replace(x["m"], head, "")
+        kept = F.regexp_replace(inner, tail, "")
+        left, right = F.length(x["m"]) - F.length(inner), F.length(inner) - F.length(kept)
+        byte = x["b"] + left
+        before = F.right(_bytes(data, F.greatest(byte - 4 * BEFORE, F.lit(0)), byte), F.lit(BEFORE))
+        return F.struct((x["s"] + left).alias("s"), (x["e"] - right).alias("e"), byte.alias("b"), (x["f"] - right).alias("f"), kept.alias("m"), before.alias("before"))
 
-    return df.withColumn(EXTRA, F.filter(F.transform(EXTRA, bare), lambda x: x["m"] != ""))
+    bared = _let(F.col("t").cast("binary"), lambda data: F.transform(EXTRA, lambda x: bare(data, x)))
+    none = F.array().cast("array<struct<s:int,e:int,b:int,f:int,m:string,before:string>>")
+    return df.withColumn(EXTRA, F.when(F.size(EXTRA) > 0, F.filter(bared, lambda x: x["m"] != "")).otherwise(none))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -186,6 +240,7 @@ def _votes(x: Column) -> dict[str, Column]:
         "digits": _vote((digits >= 9) & (digits < 16) & m.rlike(r"^[0-9 ().-]+$"), (digits <= 4) | (m.rlike("^[0-9]{16,19}$") & ~_luhn(m))),
         "short": _vote(F.lit(False), n <= 6),
         "issued": _vote(F.lower(F.substring(m, 1, 6)).rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in PREFIXES) + ")")),
+        "country": _vote(m.rlike("^(?:" + "|".join(COUNTRIES) + ")[0-9]{2}[0-9A-Z]{11,30}$")),
         "asked": _vote(x["before"].rlike(ASKS)),
         "told": _vote(F.lit(False), x["before"].rlike(TELLS)),
     }
@@ -216,7 +271,7 @@ def _packed(df: DataFrame) -> DataFrame:
         f = F.lit(0)
         for c in _features(x).values():
             f = f * 2 + F.coalesce(c, F.lit(False)).cast("int")
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), v.alias("v"), f.alias("f"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["b"].alias("b"), x["f"].alias("f"), v.alias("votes"), f.alias("features"))
 
     return df.withColumn(EXTRA, F.transform(EXTRA, code))
 
@@ -276,7 +331,8 @@ def fit(cells: dict[int, tuple[float, float]]) -> list[float]:
 
 def train(found: DataFrame) -> list[float]:
     """The classifier's weights from all candidates of found; two tables of bounded size come to the driver."""
-    cells = found.select(F.explode(EXTRA).alias("x")).groupBy("x.v", "x.f").agg(F.count(F.lit(1)).alias("n"))
+    # Not explode(): the optimiser would put a filter of its own below, and find every candidate twice.
+    cells = found.select(F.explode_outer(EXTRA).alias("x")).where(F.col("x").isNotNull()).groupBy(F.col("x.votes").alias("v"), F.col("x.features").alias("f")).agg(F.count(F.lit(1)).alias("n"))
     rows = cells.collect()  # at most 3 ** LABELERS * 2 ** FEATURES, and far fewer as votes and features hang together
     counts: dict[int, int] = {}
     for r in rows:
@@ -297,7 +353,7 @@ def accepted(weights: list[float]) -> list[int]:
 
 def _scored(found: DataFrame) -> DataFrame:
     good = F.array(*[F.lit(f) for f in accepted(train(found))]).cast("array<int>")
-    return found.withColumn(EXTRA, F.filter(EXTRA, lambda x: F.array_contains(good, x["f"])))
+    return found.withColumn(EXTRA, F.filter(EXTRA, lambda x: F.array_contains(good, x["features"])))
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -326,18 +382,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     found = _packed(_found(df))
     # The model is fitted on all candidates of this input first; then texts are read once more.
     good = F.array(*[F.lit(f) for f in accepted(train(found.select(EXTRA)))]).cast("array<int>")
-    found = found.withColumn(EXTRA, F.filter(EXTRA, lambda x: F.array_contains(good, x["f"])))
+    found = found.withColumn(EXTRA, F.filter(EXTRA, lambda x: F.array_contains(good, x["features"])))
     cut = F.array_sort(F.flatten(F.array(*[F.transform(k, _cut(k)) for k in (*KINDS, EXTRA)])))
     found = found.withColumn("cut", cut)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col("t"), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        put = F.when(x["s"] >= a["at"], F.concat(gap, F.lit("["), x["k"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], F.array(put)).alias("out"))
-
-    done = F.aggregate("cut", zero, step)
-    found = found.withColumn("done", F.when(F.size("cut") > 0, done))
-    rebuilt = F.concat(F.array_join("done.out", ""), F.substring(F.col("t"), F.col("done.at") + 1, F.length("t")))
-    found = found.withColumn(f"__{text}", F.when(F.size("cut") > 0, rebuilt).otherwise(F.col(f"__{text}")))
+    # A span that begins within another is taken out with it.
+    clean = _rebuilt(F.col("t"), F.col("cut"), lambda x, end: F.when(x["b"] >= end, x["k"]).otherwise(F.lit("")))
+    found = found.withColumn(f"__{text}", F.when(F.size("cut") > 0, clean).otherwise(F.col(f"__{text}")))
     return found.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns)])
