@@ -265,8 +265,9 @@ def link_classes(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataF
     )
     buckets, crowds, n_members = _buckets(classes)
     wanted = written(classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "text_hash"), "wanted")
-    blooms = bloom.build(wanted, "text_hash")
-    texts = bloom.probe(docs.select(F.col("text").cast("string").alias("text")), F.xxhash64("text"), blooms, "maybe").where("maybe").select("text")
+    blocks = bloom.blocks_for(wanted.count())
+    blooms = bloom.build(wanted, "text_hash", blocks)
+    texts = bloom.probe(docs.select(F.col("text").cast("string").alias("text")), F.xxhash64("text"), blooms, "maybe", blocks).where("maybe").select("text")
     sets = written(texts.mapInArrow(_full_sets, SETS).join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
     forget(wanted)
 

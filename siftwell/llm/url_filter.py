@@ -1,7 +1,8 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
-Listed canonical URLs fill a blocked Bloom filter of bounded size. URLs that it surely doesn't
-have pass at once; possible hits go on to an exact join with the list, which removes the false positives.
+Listed canonical URLs fill a blocked Bloom filter, which is sized by their number. URLs that it surely doesn't
+have pass at once; possible hits go on to an exact join with the list, which removes the false positives. Pages are
+taken apart once and written beside the filter's verdict, without their HTML.
 Rules of a host and a path beginning come first: a rule fits its host and all subdomains if the URL's path
 starts with the rule's, and the longest fitting rule decides.
 
@@ -9,7 +10,7 @@ A canonical URL is the host without ``www.``, the path without a trailing slash,
 and the query without tracking parameters, in order; scheme, port and fragment don't count.
 
 Hostile cases: a null URL, or one without ``://``, has an empty host and path, no canonical form, and is
-allowed; repeated rows and one URL on a third of all rows are spread by a salt in the join; an empty list
+allowed; repeated rows, and the rows of one URL on a third of all pages, are dealt out in the join; an empty list
 or table works; columns besides page_id and url aren't read, and null ids stay null.
 """
 
@@ -19,14 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import bloom
-from siftwell.llm.shared import ascii_lower
+from siftwell.llm.shared import ascii_lower, counted, even_join, forget, written
 
 # The rules (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Query parameters that say where a visitor came from.
 TRACKING = r"utm_[a-z]+|ref|fbclid|gclid"
-#: Each listed URL stands in the join so many times, and each hit of it meets one of them.
-SALTS = 16
 
 
 def parts(url: Column) -> dict[str, Column]:
@@ -68,17 +67,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
     listed: canonical URLs in a column of that name, which are blocked where no rule decides.
     """
-    listed = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
-    blooms = bloom.build(listed, "canonical")
+    listed = written(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct(), "listed")
+    blocks = bloom.blocks_for(listed.count())
+    blooms = written(bloom.build(listed, "canonical", blocks), "bloom")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     df = with_parts(pages).withColumns({"rule": name, "ruled": verdict})
-    df = bloom.probe(df, F.col("canonical"), blooms, "maybe")
-    surely = df.where(~F.col("maybe")).withColumn("listed", F.lit(False))
-    salted = listed.select("canonical", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("listed"))
-    hits = df.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    exact = hits.join(salted, ["canonical", "salt"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    columns = ["page_id", "host", "path", "rule", "ruled", "canonical", "listed"]
-    both = surely.select(*columns).unionByName(exact.select(*columns))
+    columns = ["page_id", "host", "path", "rule", "ruled", "canonical"]
+    df = written(bloom.probe(df, F.col("canonical"), blooms, "maybe", blocks).select(*columns, "maybe"), "pages")
+    forget(blooms)
+    hits = df.where("maybe").drop("maybe")
+    exact = even_join(hits, listed.withColumn("listed", F.lit(True)), "canonical", counted(hits, "canonical"), hits.count(), "left")
+    surely = df.where(~F.col("maybe")).withColumn("listed", F.lit(False)).select(*columns, "listed")
+    both = surely.unionByName(exact.select(*columns, F.coalesce("listed", F.lit(False)).alias("listed")))
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return both.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "canonical", "listed")
 
