@@ -6,9 +6,10 @@ stands that is compatible with the last token of the prefix before it: encoding
 text together must give just these two. Back-pointers then give the ids. Unlike merging, each place
 is visited once.
 
-The file's own settings say how text is brought to words: white space runs become spaces, letters
-are composed and lower-cased, and words split off by a pattern; the special tokens' strings in a text
-are tokens of their own. It has no decoder, so that tokens are joined by spaces.
+Text is brought to words as the file's settings say: letters are composed and lower-cased, white space runs become
+spaces, and words split off by a pattern; the special tokens' strings in a text are tokens of their
+own. It has no decoder, so that tokens are joined by spaces. A file of other settings is refused. The
+library's parts have Unicode tables of several years; where these differ from Python's, the differences are stated.
 
 Hostile cases: a null text is an empty one, with no tokens; a word of any length takes time in
 proportion to it; repeated rows give repeated rows; an empty table gives an empty result; further
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -104,10 +106,18 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
+        for name, value in SETTINGS.items():
+            if file[name] != value:
+                raise ValueError(f"this {name} isn't supported: {file[name]}")
+        if any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            raise ValueError("only plain merges are supported")
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in file["added_tokens"]):
+            raise ValueError("only special tokens that stand as they are are supported")
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.names = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in file["added_tokens"]}
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
+        self.mark = os.path.commonprefix(list(self.special))
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         # Ranks order tokens as their merges are ordered, after all letters; ids need not.
         self.halves: list[tuple[int, int] | None] = []
@@ -222,7 +232,7 @@ class Vocabulary:
     def entries(self, text: str) -> list[tuple[int, str, str]]:
         """For each run of a text, how many tokens it has, their ids and their names."""
         out = []
-        for piece in _special(tuple(self.special)).split(text) if "<|" in text else (text,):
+        for piece in _special(tuple(self.special)).split(text) if self.special and self.mark in text else (text,):
             if piece in self.special:
                 out.append((1, str(self.special[piece]), piece))
                 continue
@@ -240,20 +250,58 @@ class Vocabulary:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-def _category(first: str) -> str:
-    """A character class of the code points whose general category begins with first."""
-    runs: list[list[int]] = []
+# Letters and numbers that the library's pattern knows and older tables don't (Unicode 16).
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+# Capitals (first, last, first small letter) that its lower-casing knows and older tables don't (Unicode 17).
+NEW_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+# Marks that its composing of letters doesn't know yet, so that they neither move nor join (after Unicode 9).
+UNKNOWN_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11938, 0x11938), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def _category(first: str) -> list[tuple[int, int]]:
+    """The ranges of code points whose general category begins with first."""
+    runs: list[tuple[int, int]] = []
     for c in range(sys.maxunicode + 1):
         if unicodedata.category(chr(c))[0] == first:
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+            runs[-1:] = [(runs[-1][0], c)] if runs and runs[-1][1] == c - 1 else [*runs[-1:], (c, c)]
+    return runs
 
 
-LETTERS, NUMBERS = _category("L"), _category("N")
+LETTERS, NUMBERS = _class(_category("L") + NEW_LETTERS), _class(_category("N") + NEW_NUMBERS)
 PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+"
+#: The settings that this reading is of.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+_lower = {c: small + c - first for first, last, small in NEW_CAPITALS for c in range(first, last + 1)}
+_unknown = re.compile(f"([{_class(UNKNOWN_MARKS)}])")
 _spaces, _parts = re.compile(f"[{SPACE}]+"), re.compile(PARTS)
 _splits: dict[tuple[str, ...], re.Pattern] = {}
 
@@ -267,8 +315,9 @@ def _special(tokens: tuple[str, ...]) -> re.Pattern:
 def runs_of(text: str) -> list[str]:
     """What stands between white space, composed and lower-cased letter by letter."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ")  # the lower case of this letter alone depends on its neighbours
+        # Unknown marks part what is composed.
+        text = "".join(unicodedata.normalize("NFC", x) for x in _unknown.split(text))
+        text = text.translate(_lower).replace("Σ", "σ")  # the lower case of sigma alone depends on its neighbours
     text = text.lower()
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split() alone
         return [r for r in _spaces.split(text) if r]
