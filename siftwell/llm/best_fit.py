@@ -7,6 +7,8 @@ bin is opened whose capacity costs least a token: each capacity is filled on tri
 remaining pieces that fit, and its cost is shared by what that packs. At last each bin becomes the
 smallest capacity that holds its contents.
 
+Lengths are of byte-level tokens, so a piece may end within a letter of several bytes.
+
 Hostile cases: a null or empty text has length 0 and makes no piece; rows with equal or null ids are
 rows of their own; ties are broken by id and place, so results don't depend on how rows are dealt; an
 empty table gives an empty result; further columns aren't read.
@@ -29,6 +31,8 @@ BIN_COST = 64
 #: Attention makes longer sequences dearer: a token of a bin of this length costs twice one of a short bin.
 DOUBLE_AT = 65536
 SHARD_PIECES = 2048
+#: Equal pieces that a task makes of one row.
+TOGETHER = 4096
 
 PACKED = "doc_id long, piece long, start long, length long, bin string, capacity long, offset long"
 
@@ -125,6 +129,9 @@ def pack_documents(docs: DataFrame, length: Column | None = None, capacities: tu
     # Ids may repeat in any number: a piece's hash, and its number among equal pieces, deal it.
     copies = written(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")), "pieces")
     shards = max(1, -(-(copies.agg(F.sum("copies").alias("n")).first()["n"] or 0) // SHARD_PIECES))
-    dealt = copies.select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    # In two steps, so that no task makes all copies of one piece.
+    lots = copies.select(*key, "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(TOGETHER).cast("long"))).alias("first"))
+    some = lots.where(F.col("copies") <= TOGETHER).unionByName(lots.where(F.col("copies") > TOGETHER).repartition(*key, "first"))
+    dealt = some.select(*key, F.explode(F.sequence("first", F.least("copies", F.col("first") + (TOGETHER - 1)))).alias("copy"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece", "copy"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(_shard(capacities), PACKED)
