@@ -1,10 +1,11 @@
 """License scans by a positional index of rare template words.
 
 Of each key phrase of a licence template, the word of the highest inverse document frequency over all
-files is looked up in the templates' postings (word, place), wherever a file has it. Each place in the
-file less the place in the template is an offset; the offset that most words agree on aligns the
-template. The score is the share of the template's words that stand where they should; a template is
-found when the score reaches MIN_SCORE and one of its key phrases stands within the alignment. An
+files is looked up in the templates' postings (word, place), wherever a file has it. (Files without any of the
+ways in aren't counted; they have none of the words that can be looked up.) Each place in the
+file less the place in the template is an offset, which aligns the template. The score is the share of the
+template's words that stand where they should, or within DRIFT words of it, so that words may be put in or left out; a
+template is found when the score reaches MIN_SCORE and one of its key phrases stands just where it should. An
 alignment with a key phrase has that phrase's rarest word at its place, so none is missed, however many
 notices a file holds.
 
@@ -45,11 +46,23 @@ TEMPLATES = [
     ("cc-by", "licensed under cc by 4 0", ["cc by 4"]),
     ("cc-by", "this work is licensed under a creative commons attribution license", ["creative commons attribution"]),
     ("reserved", "all rights reserved", ["all rights reserved"]),
+    ("agpl", "licensed under the gnu affero general public license", ["affero general public license"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ["general public license"]),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", ["except in compliance with the license"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ["in no event will the authors be held liable"]),
+    ("boost", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("epl", "made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["has waived all copyright"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 MIN_SCORE = 0.8
+#: How far from its place a word of a template may stand.
+DRIFT = 3
 #: Template words that ordinary prose is full of; they count for the score but are no way in.
-COMMON = {"the", "this", "is", "a", "of", "to", "and", "or", "in", "it", "any", "you", "can", "are", "with", "by", "under", "use", "work", "all", "person", "free", "into", "form", "forms", "public", "version", "code", "source", "0", "2", "3", "4"}
+COMMON = {"the", "this", "is", "a", "of", "to", "and", "or", "in", "it", "any", "you", "can", "are", "with", "by", "under", "use", "work", "all", "person", "free", "into", "form", "forms", "public", "version", "code", "source", "0", "1", "2", "3", "4", "for", "all", "no", "not", "be", "will", "may", "use", "must", "have", "has", "or", "as", "at", "above", "following", "list", "related", "law", "author", "authors", "event", "possible", "purpose", "shall", "should", "available", "made", "file", "except", "along", "without", "received", "included", "provided", "extent"}
 
 
 def _templates() -> list[list[str]]:
@@ -126,18 +139,22 @@ def judge(docs: DataFrame) -> DataFrame:
     templates = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in _templates()])
     spans = F.array(*[F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in _key_spans(t)]) for t in range(len(TEMPLATES))])
 
-    def agreeing(e: Column) -> Column:
-        """The places of a template at which the file has its word."""
-        word = F.get(templates, e["t"])
-        return F.array_compact(F.transform(word, lambda w, p: F.when((e["offset"] + p >= 0) & (F.get("ws", e["offset"] + p) == w), p)))
+    def aligned(e: Column) -> Column:
+        """The share of a template's words that the file has near their places, and if a key phrase is at its own."""
+        words = F.get(templates, e["t"])
 
-    found = found.withColumn("agree", F.transform("begins", lambda e: F.struct(e["t"].alias("t"), agreeing(e).alias("ps"))))
+        def near(w: Column, p: Column) -> Column:
+            low, high = F.greatest(e["offset"] + p - DRIFT, F.lit(0)), e["offset"] + p + DRIFT
+            return F.array_contains(F.slice(F.col("ws"), low + 1, F.greatest(high - low + 1, F.lit(0))), w)
 
-    def aligned(e: Column) -> Column:
-        key = F.exists(F.get(spans, e["t"]), lambda k: F.size(F.filter(e["ps"], lambda p: (p >= k["a"]) & (p < k["a"] + k["n"]))) == k["n"])
-        return F.struct(e["t"].alias("t"), (F.size(e["ps"]) / F.size(F.get(templates, e["t"])).cast("double")).alias("score"), key.alias("key"))
+        def there(k: Column) -> Column:
+            return F.forall(F.sequence(k["a"], k["a"] + k["n"] - 1), lambda p: F.coalesce((e["offset"] + p >= 0) & (F.get("ws", e["offset"] + p) == F.get(words, p)), F.lit(False)))
+
+        key = F.exists(F.get(spans, e["t"]), there)
+        share = F.size(F.filter(F.transform(words, near), lambda x: x)) / F.size(words).cast("double")
+        return F.struct(e["t"].alias("t"), F.when(key, share).otherwise(F.lit(0.0)).alias("score"), key.alias("key"))
 
-    found = found.withColumn("aligned", F.transform("agree", aligned))
+    found = found.withColumn("aligned", F.transform("begins", aligned))
     labels = F.array(*[F.lit(t[0]) for t in TEMPLATES])
     base = F.concat(*[F.col(f"base{n}") for n in range(len(PHRASES))])
     found = found.withColumn("base", base)
