@@ -2,12 +2,14 @@
 
 The encoder predicts each block of BLOCK samples by the best fixed predictor (or keeps a constant
 or the plain samples) and writes Rice residuals, a checksum of each header and frame, an MD5 of the
-whole and a seek table with each frame. The decoder also takes linear predictors of up to order 32 and
-partitioned residuals. Frames are worked on side by side: a step decodes one sample of each.
+whole and a seek table with each frame (of streams near a gigabyte with every second, third and so on). The decoder
+also takes linear predictors of up to order 32, partitioned residuals, plain partitions and wasted bits.
+Frames are worked on side by side: a step decodes one sample of each.
 
 Hostile cases: a null text is an empty one, whose payload is 64 zero bytes; a payload of any length
-is handled in groups of GROUP frames, so memory doesn't grow with it; a damaged stream raises
-ValueError, as do streams of several channels, over 16 bits or with escaped partitions; repeated rows
+is handled in groups of GROUP frames, so memory doesn't grow with it; a stream that is damaged, or of
+several channels or over 16 bits, raises ValueError in decode(), and in read_back() gives a row with nulls and the
+reason in error; repeated rows
 give repeated rows; an empty table gives an empty result; further columns aren't read.
 """
 
@@ -36,12 +38,14 @@ PAD = 64
 AHEAD = 128
 RATE = 8000
 MAX_RICE = 14
+#: Bytes that a seek table may have; fixed by the format.
+MOST_SEEK = (1 << 24) - 1
 #: Coefficients of the fixed predictors by order; fixed by the format.
 FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 
 MEDIA = "doc_id long, n_bytes long, media binary"
 BLOCKS = "doc_id long, block long, sample_offset long, n_samples long, byte_offset long, pcm binary"
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, block_offsets array<long>, error string"
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -190,12 +194,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         signed = (np.frombuffer(p, np.uint8) ^ np.uint8(0x80)).tobytes()
         packed = RATE << 44 | 0 << 41 | 7 << 36 | len(p)
         info = struct.pack(">HH", BLOCK, BLOCK) + bytes(6) + packed.to_bytes(8, "big") + hashlib.md5(signed).digest()
-        points, at = [], 0
+        points, at, every = [], 0, 1 + 18 * len(fs) // MOST_SEEK
         for n, f in enumerate(fs):
-            points.append(struct.pack(">QQH", n * BLOCK, at, min(BLOCK, len(p) - n * BLOCK)))
+            if n % every == 0:
+                points.append(struct.pack(">QQH", n * BLOCK, at, min(BLOCK, len(p) - n * BLOCK)))
             at += len(f)
         seek = b"".join(points)
-        out.append(b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(seek).to_bytes(3, "big") + seek + b"".join(fs) if len(seek) < 1 << 24 else b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info + b"".join(fs))
+        out.append(b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(seek).to_bytes(3, "big") + seek + b"".join(fs))
     return out
 
 
@@ -283,8 +288,17 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
         return v - ((v >> (np.asarray(width) - 1)) << np.asarray(width))
 
     kind = take(8)
-    if (kind & 0x81).any():
+    if (kind & 0x80).any():
         raise ValueError("a subframe of an unknown kind")
+    # Bits that all samples end with zero in are left out; how many is said in unary.
+    wasted = np.zeros(len(order), np.int64)
+    going = np.flatnonzero(kind & 1)
+    while len(going):
+        wasted[going] += 1
+        going = going[take(1, going) == 0]
+    depth = depth - wasted
+    if (depth < 1).any():
+        raise ValueError("more wasted bits than a sample has")
     kind >>= 1
     fixed, linear = (kind >= 8) & (kind <= 12), kind >= 32
     if not (fixed | linear | (kind < 2)).all():
@@ -327,7 +341,7 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
     for size in np.unique(parts_of):
         turns.update(range(0, most, max(1, int(size))))
     own_coef, own_shift, own_width = coef[coded], shift[coded], width[coded]
-    predicted = bool(latest)
+    predicted, plain = bool(latest), np.full(len(coded), -1)
     live = len(coded)
     for t in range(len(rows)):
         while live and lengths[live - 1] <= t:
@@ -340,12 +354,21 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
                 p[coded[fresh]] = place[fresh].astype(np.int64)
                 param[fresh] = take(own_width[fresh], coded[fresh]).astype(np.uint64)
                 place[fresh] = p[coded[fresh]].astype(np.uint64)
-                if (param[fresh].astype(np.int64) == (1 << own_width[fresh]) - 1).any():
-                    raise ValueError("an escaped partition")
+                escaped = param[fresh].astype(np.int64) == (1 << own_width[fresh]) - 1
+                plain[fresh] = -1
+                if escaped.any():  # plain samples of the width that follows
+                    which = fresh[escaped]
+                    p[coded[which]] = place[which].astype(np.int64)
+                    plain[which] = take(5, coded[which])
+                    place[which], param[which] = p[coded[which]].astype(np.uint64), 0
         k, at = param[turn], place[turn]
         if not t & 15 and len(at) and int(at.max()) > limit:
             raise ValueError("a frame ends too soon")
         w = window[at >> _3] << (at & _7)
+        raw = plain[turn]
+        straight = np.flatnonzero(raw >= 0)
+        bits_here, from_here = w[straight], at[straight]
+        w[straight] = ~np.uint64(0)  # no zeros to look for
         q = _ZEROS.take((w >> _48).view(np.int64))
         long = np.flatnonzero(q == 16)
         if len(long):
@@ -369,6 +392,13 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
         v = (q << k) | (((w << skip) >> _1) >> (_63 - k))
         place[turn] = at + used + k
         value = (v >> _1).view(np.int64) ^ -(v & _1).view(np.int64)
+        if len(straight):
+            size = raw[straight]
+            some_bits = ((bits_here >> _1) >> (63 - size).astype(np.uint64)).astype(np.int64)
+            value[straight] = np.where(size > 0, some_bits - ((some_bits >> np.maximum(size - 1, 0)) << size), 0)
+            ends_at = place[turn]
+            ends_at[straight] = from_here + size.astype(np.uint64)
+            place[turn] = ends_at
         if predicted:
             now = np.arange(live)[turn]
             some = np.flatnonzero(own_lag[now])
@@ -385,6 +415,8 @@ def _decoded(buf: np.ndarray, starts: list[int], blocks: list[int], bits: list[i
             out = rows
         else:
             out[:, coded] = rows
+    if wasted.any():
+        out = out << wasted
     ends = (p + 7) // 8
     if len(ends) and int(ends.max()) + 2 > len(buf):
         raise ValueError("a frame ends too soon")
@@ -438,17 +470,19 @@ def _span(streams: list[Stream], base: list[int], first: int, last: int, low: in
     return np.frombuffer(b"".join(parts), np.uint8)
 
 
+def _whole(stream: Stream, found: list[tuple[int, int, np.ndarray]]) -> bytes:
+    """The unsigned bytes of a stream's blocks, checked against count and MD5."""
+    pcm = np.concatenate([b for _, _, b in found]) if found else np.zeros(0, np.int64)
+    signed = pcm.astype(np.int8)
+    if len(pcm) != stream.samples or (any(stream.md5) and hashlib.md5(signed.tobytes()).digest() != stream.md5):
+        raise ValueError("the stream's samples aren't those that it was made of")
+    return (signed.view(np.uint8) ^ np.uint8(0x80)).tobytes()
+
+
 def decode(media: list[bytes]) -> list[bytes]:
     """The unsigned bytes of 8-bit streams, checked against counts and MD5."""
     streams = [Stream(m) for m in media]
-    out = []
-    for s, found in zip(streams, blocks(streams)):
-        pcm = np.concatenate([b for _, _, b in found]) if found else np.zeros(0, np.int64)
-        signed = pcm.astype(np.int8)
-        if len(pcm) != s.samples or (any(s.md5) and hashlib.md5(signed.tobytes()).digest() != s.md5):
-            raise ValueError("the stream's samples aren't those that it was made of")
-        out.append((signed.view(np.uint8) ^ np.uint8(0x80)).tobytes())
-    return out
+    return [_whole(s, found) for s, found in zip(streams, blocks(streams))]
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -487,16 +521,36 @@ def feature(data: bytes, n_blocks: int) -> str:
     return f"blocks={n_blocks};peak={int(np.abs(s).max())};crossings={int(((s[1:] < 0) != (s[:-1] < 0)).sum())};energy={int((s * s).sum())}"
 
 
+def _digested(media: list[bytes]) -> list[tuple]:
+    """What DIGEST has of each stream after its number of bytes."""
+    streams = [Stream(m) for m in media]
+    out = []
+    for m, s, found in zip(media, streams, blocks(streams)):
+        data = _whole(s, found)
+        out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), feature(data, len(found)), [at for _, at, _ in found], None))
+    return out
+
+
+def _safely(media: list[bytes]) -> list[tuple]:
+    """The same; a stream that can't be read doesn't take the others with it."""
+    try:
+        return _digested(media)
+    except ValueError as e:
+        if len(media) == 1:
+            return [(None, None, None, len(media[0]), hashlib.sha256(media[0]).hexdigest(), None, None, str(e))]
+        return [row for m in media for row in _safely([m])]
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*[(x.split()[0], _KINDS[x.split()[1]]) for x in DIGEST.split(", ")])
     for batch in batches:
-        rows = [x for x in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist())]
+        rows = [(i, n, m or b"") for i, n, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")))]
         for run in _runs(rows, [len(m) for _, _, m in rows]):
-            out = []
-            for (i, n, m), data in zip(run, decode([m for _, _, m in run])):
-                out.append((i, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), feature(data, -(-len(data) // Stream(m).block))))
-            names = [x.split()[0] for x in DIGEST.split(", ")]
-            kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            out = [(i, n, *digest) for (i, n, _), digest in zip(run, _safely([m for _, _, m in run]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], list(names))
 
 
 def _pcm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import best_fit, flac, license_index, mcd_rules, minmax_dedup, prefix_bpe, quote_linking, toxicity_chain, url_filter, weak_pii
+from siftwell.llm.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +65,8 @@ def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_back(flac.store(_table(spark, sf_dir, "documents")))
+    """The streams are stored as a table, and what that holds is read back block by block."""
+    return flac.read_back(written(flac.store(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
