@@ -32,7 +32,7 @@ def _add(name: str, run: Run, sql: str | None = None) -> None:
 
 # --- documents as both engines see them ---------------------------------------------------------------------------
 
-_TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')[1:10000]"
+_TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
 _DOCS = f"d AS (SELECT 'doc:' || doc_id AS uri, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS ts, lang, source, n_chars, text, {_TERMS} AS terms FROM documents)"
 
 
@@ -92,7 +92,7 @@ _add("stopword_only", lambda s, d: Matcher(STOP).search(_docs(s, d, STOP), human
 _add(
     "stopword_phrase",
     lambda s, d: Matcher(STOP).search(_docs(s, d, STOP), human.parse('"thanedble the anea"')).select("uri"),
-    rf"""WITH d AS (SELECT 'doc:' || doc_id AS uri, list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+'), lambda t: t NOT IN ({", ".join(f"'{w}'" for w in analysis.STOP_WORDS)}))[1:10000] AS terms FROM documents)
+    rf"""WITH d AS (SELECT 'doc:' || doc_id AS uri, list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+'), lambda t: t NOT IN ({", ".join(f"'{w}'" for w in analysis.STOP_WORDS)})) AS terms FROM documents)
 SELECT uri FROM d WHERE {_p("thanedble", "anea")}""",
 )
 _add("wildcard_star", _typed("thanea*ion"), _uris(_any("regexp_full_match(t, 'thanea.*ion')") + " OR " + _key("regexp_full_match($, 'thanea.*ion')")))
@@ -232,10 +232,14 @@ SELECT uri, round(greatest(a, b) + (a + b - greatest(a, b)) * 0.1, 6) AS score F
 _add("constant_score_range", lambda s, d: Matcher(SIMPLE).search(_docs(s, d), TermRange("thinb", "thind")).select("uri", F.lit(1.0).alias("score")), f"WITH {_DOCS} SELECT uri, 1.0::DOUBLE AS score FROM d WHERE " + _any("t >= 'thinb' AND t <= 'thind'"))
 _add(
     "sort_relevance",
-    lambda s, d: rank.in_order(rank.scored(*_hits(s, d), ["thing", "nicht"]), "relevance").select("uri", F.round("score", 6).alias("score")).limit(20),
-    f"WITH {_DOCS}, {_stats('thing', 'nicht')}, r AS (SELECT uri, ts, {_score_words('thing', 'nicht')} AS score FROM d, n WHERE {_HIT}) SELECT uri, round(score, 6) AS score FROM (SELECT * FROM r ORDER BY score DESC, ts DESC, uri LIMIT 20)",
+    lambda s, d: rank.numbered(rank.scored(*_hits(s, d), ["thing", "nicht"]).select("uri", "ts", F.round("score", 6).alias("score")), *rank.order_of("relevance")).select("uri", "score", "place"),
+    f"WITH {_DOCS}, {_stats('thing', 'nicht')}, r AS (SELECT uri, ts, round({_score_words('thing', 'nicht')}, 6) AS score FROM d, n WHERE {_HIT}) SELECT uri, score, row_number() OVER (ORDER BY score DESC, ts DESC, uri) - 1 AS place FROM r",
+)
+_add(
+    "sort_name",
+    lambda s, d: rank.numbered(tables.read(s, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("uri"), F.col("p_name").alias("name"), F.lit(None).cast("timestamp").alias("ts")), *rank.order_of("name")).select("uri", "name", "place"),
+    "SELECT 'part:' || p_partkey AS uri, p_name AS name, row_number() OVER (ORDER BY lower(p_name), 'part:' || p_partkey) - 1 AS place FROM part",
 )
-_add("sort_name", lambda s, d: rank.in_order(tables.read(s, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("uri"), F.col("p_name").alias("name"), F.lit(None).cast("timestamp").alias("ts")), "name").select("uri", "name").limit(50), "SELECT 'part:' || p_partkey AS uri, p_name AS name FROM part ORDER BY lower(p_name), 'part:' || p_partkey LIMIT 50")
 _add(
     "dedup_union",
     lambda s, d: rank.unique(_hits(s, d, "thing")[0].select("uri", F.lit(0).alias("backend"), F.lit("first").alias("found_by")).unionByName(_hits(s, d, "attion")[0].select("uri", F.lit(1).alias("backend"), F.lit("second").alias("found_by"))), "backend").select("uri", "found_by"),
@@ -248,8 +252,8 @@ _add(
 )
 _add(
     "term_vector",
-    lambda s, d: rank.term_vector(_docs(s, d).where(F.col("uri") == "doc:3")).select("uri", "term", "tf", F.col("first_pos").cast("long").alias("first_pos"), F.col("last_pos").cast("long").alias("last_pos")),
-    f"{_POS} SELECT uri, term, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM p WHERE uri = 'doc:3' GROUP BY uri, term",
+    lambda s, d: rank.term_vector(_docs(s, d)).select("uri", "term", "tf", F.col("first_pos").cast("long").alias("first_pos"), F.col("last_pos").cast("long").alias("last_pos")),
+    f"{_POS} SELECT uri, term, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM p GROUP BY uri, term",
 )
 _add(
     "field_list",
@@ -297,7 +301,7 @@ def _analysis(analyzer: analysis.Analyzer) -> Run:
 
 
 def _analysis_sql(terms: str) -> str:
-    return f"SELECT term, count(*) AS n FROM (SELECT unnest(({terms})[1:10000]) AS term FROM documents) GROUP BY term"
+    return f"SELECT term, count(*) AS n FROM (SELECT unnest({terms}) AS term FROM documents) GROUP BY term"
 
 
 _add("analyzer_whitespace", _analysis(analysis.WHITESPACE), _analysis_sql(r"regexp_extract_all(coalesce(text, ''), '\S+')"))
@@ -314,13 +318,13 @@ _SCALARS: dict[str, tuple[str, Callable, str]] = {
     "decode_entities": ("pages", lambda: (F.col("page_id"), F.md5(scalar.decode_entities(F.col("html")))), "SELECT page_id AS id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '&nbsp;', ' '), '&apos;', '''')) AS value FROM pages"),
     "escape_html": ("documents", lambda: (F.col("doc_id"), F.md5(scalar.escape_html(F.col("text")))), "SELECT doc_id AS id, md5(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(13), '&#13;'), chr(10), '&#10;')) AS value FROM documents"),
     "sanitize_email": ("supplier", lambda: (F.col("s_suppkey"), scalar.sanitize_email(F.concat("s_name", F.lit("_X@mail-1.Example.com")))), "SELECT s_suppkey AS id, regexp_replace(translate(lower(s_name || '_X@mail-1.Example.com'), '@.-_+', '     '), ' (com|net|org|edu|gov|mil)$', '') AS value FROM supplier"),
-    "count_words": ("documents", lambda: (F.col("doc_id"), scalar.count_words(F.col("text"), 500).cast("string")), r"SELECT doc_id AS id, least(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')), 500)::VARCHAR AS value FROM documents"),
+    "count_words": ("documents", lambda: (F.col("doc_id"), scalar.count_words(F.col("text")).cast("string")), r"SELECT doc_id AS id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))::VARCHAR AS value FROM documents"),
     "glob_match": ("part", lambda: (F.col("p_partkey"), scalar.glob_match("*ed wi*", F.col("p_name")).cast("string")), "SELECT p_partkey AS id, regexp_full_match(p_name, '.*ed wi.*')::VARCHAR AS value FROM part"),
     "date_strings": ("events", lambda: (F.col("event_id"), F.concat_ws("|", scalar.date_string(F.col("ts")), scalar.year_month(F.col("ts")), scalar.day(F.col("ts")))), "SELECT event_id AS id, concat_ws('|', strftime(ts, '%Y%m%d%H%M%S'), strftime(ts, '%Y%m'), strftime(ts, '%d')) AS value FROM events"),
     "duration_string": ("orders", lambda: (F.col("o_orderkey"), scalar.duration(F.col("o_orderkey") * 997)), "SELECT o_orderkey AS id, CASE WHEN o_orderkey = 0 THEN '0s' ELSE concat(CASE WHEN x // 86400 > 0 THEN x // 86400 || 'd' ELSE '' END, CASE WHEN x // 3600 % 24 > 0 THEN x // 3600 % 24 || 'h' ELSE '' END, CASE WHEN x // 60 % 60 > 0 THEN x // 60 % 60 || 'm' ELSE '' END, CASE WHEN x % 60 > 0 THEN x % 60 || 's' ELSE '' END) END AS value FROM (SELECT o_orderkey, o_orderkey * 997 AS x FROM orders)"),
     "fold_accents": ("documents", lambda: (F.col("doc_id"), F.md5(scalar.fold_accents(F.col("text")))), "SELECT doc_id AS id, md5(replace(replace(replace(replace(replace(replace(replace(translate(text, 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïðñòóôõöøùúûüýÿ', 'AAAAAACEEEEIIIIDNOOOOOOUUUUYaaaaaaceeeeiiiidnoooooouuuuyy'), 'Æ', 'AE'), 'Œ', 'OE'), 'Þ', 'TH'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), 'þ', 'th')) AS value FROM documents"),
-    "levenshtein_similarity": ("part", lambda: (F.col("p_partkey"), F.round(scalar.levenshtein_similarity(F.col("p_name"), "red widget"), 6).cast("string")), None),
-    "fuzzy_divide": ("customer", lambda: (F.col("c_custkey"), scalar.fuzzy_divide(F.concat("c_name", F.lit("someFileName2Go.txt")))), None),
+    "levenshtein_similarity": ("part", lambda: (F.col("p_partkey"), F.round(scalar.levenshtein_similarity(F.col("p_name"), "red widget"), 6).cast("string")), "SELECT p_partkey AS id, round(1 - levenshtein(p_name, 'red widget') / least(length(p_name), 10), 6)::VARCHAR AS value FROM part"),
+    "fuzzy_divide": ("customer", lambda: (F.col("c_custkey"), scalar.fuzzy_divide(F.concat("c_name", F.lit("someFileName2Go.txt")))), "SELECT c_custkey AS id, replace(c_name, '#', ' ') || ' some File Name 2 Go txt' AS value FROM customer"),
     "split_quoted": ("part", lambda: (F.col("p_partkey"), F.concat_ws("|", scalar.split_quoted(F.concat("p_type", F.lit(' "'), "p_name", F.lit('" end'))))), "SELECT p_partkey AS id, concat_ws('|', p_type, p_name, 'end') AS value FROM part"),
 }
 
@@ -342,16 +346,25 @@ _ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'),
 _add("html_title", lambda s, d: tables.read(s, d, "pages").select("page_id", html.title(F.col("html")).alias("title")), "SELECT page_id, " + _ENTITIES.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + " AS title FROM pages")
 _add("html_links", lambda s, d: tables.read(s, d, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("link")), """SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS link FROM pages""")
 _add("html_recorded_links", lambda s, d: tables.read(s, d, "pages").select("page_id", F.explode(html.recorded_links(F.col("html"))).alias("link")), """SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS link FROM pages) WHERE regexp_matches(link, '^(http|mailto|ftp):')""")
-_add("html_text", lambda s, d: html.extract(tables.read(s, d, "pages")).select("page_id", "text"))
+_add(
+    "html_text",
+    lambda s, d: html.extract(tables.read(s, d, "pages")).select("page_id", "text"),
+    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '"""
+    + html.BREAKS
+    + r"""', ' ', 'g'), '<[^>]*>', '', 'g') AS h FROM a) SELECT page_id, trim(regexp_replace("""
+    + _ENTITIES.format("h")
+    + r""", '\s+', ' ', 'g')) AS text FROM b""",
+)
 
 # --- children, metadata and changes -------------------------------------------------------------------------------------------
 
 _add(
     "child_parent_props",
     lambda s, d: changes.child_properties(
-        tables.conversations(s, d), tables.conversations(s, d).where(F.col("uri").endswith("#0")).select(F.col("parent_uri").alias("uri"), F.lit("dc:title").alias("key"), F.substring("text", 1, 40).alias("value"))
+        tables.conversations(s, d), tables.conversations(s, d).where(F.col("uri").endswith("#0")).select(F.col("parent_uri").alias("uri"), F.lit("dc:title").alias("key"), F.col("text").alias("value"))
     ),
-    "SELECT 'im:' || c.conv_id || '#' || c.turn AS uri, 'parent:dc:title' AS key, substr(p.text, 1, 40) AS value FROM conversations c JOIN conversations p ON c.conv_id = p.conv_id AND p.turn = 0",
+    "SELECT 'im:' || c.conv_id || '#' || c.turn AS uri, 'parent:dc:title' AS key, p.text AS value FROM conversations c JOIN conversations p ON c.conv_id = p.conv_id AND p.turn = 0",
 )
 
 
@@ -442,7 +455,7 @@ UNION ALL SELECT 'region:' || r_regionkey, 'name', r_name FROM region UNION ALL
 for _case in range(8):
     _bound = {k: v for bit, (k, v) in enumerate({"s": "nation:3", "p": "in_region", "o": "region:3"}.items()) if _case >> bit & 1}
     _where = " AND ".join(f"{k} = '{v}'" for k, v in _bound.items()) or "true"
-    _add("rdf_select_" + ("".join(_bound) or "all"), lambda s, d, b=_bound: triples.select(_graph(s, d), **b).where(F.col("p") != "balance"), f"WITH {_GRAPH} SELECT s, p, o FROM g WHERE {_where} AND p <> 'balance'")
+    _add("rdf_select_" + ("".join(_bound) or "all"), lambda s, d, b=_bound: triples.select(_graph(s, d), **b), f"WITH {_GRAPH} SELECT s, p, o FROM g WHERE {_where}")
 _add(
     "rdf_bgp",
     lambda s, d: triples.match(_graph(s, d), [("?supplier", "in_nation", "?nation"), ("?nation", "in_region", "?region"), ("?region", "name", "?name")], ["supplier", "name"]),
@@ -453,7 +466,7 @@ _add(
     lambda s, d: triples.match(_graph(s, d), [("?supplier", "balance", "?balance"), ("?supplier", "in_nation", "?nation")], ["supplier", "nation"], [triples.literal_filter("balance", "gt", 5000.0)]),
     "SELECT 'supplier:' || s_suppkey AS supplier, 'nation:' || s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000",
 )
-_add("rdf_subtract", lambda s, d: triples.subtract(_graph(s, d).where(F.col("p") != "balance"), triples.select(_graph(s, d), p="in_nation")), f"WITH {_GRAPH} SELECT s, p, o FROM g WHERE p NOT IN ('balance', 'in_nation')")
+_add("rdf_subtract", lambda s, d: triples.subtract(_graph(s, d), triples.select(_graph(s, d), p="in_nation")), f"WITH {_GRAPH} SELECT s, p, o FROM g WHERE p <> 'in_nation'")
 _add("rdf_documents", lambda s, d: triples.select(triples.of_documents(tables.documents(s, d)), p="prop:k:dc:language", o="de"), "SELECT 'doc:' || doc_id AS s, 'prop:k:dc:language' AS p, lang AS o FROM documents WHERE lang = 'de'")
 
 
@@ -483,3 +496,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("search", flagship, f"WITH {_DOCS}, {_stats('thing')} SELECT uri, source, strftime(ts, '%Y%m%d%H%M%S') AS stamp, round({_score_words('thing')}, 6) AS score FROM d, n WHERE {_t('thing')} AND NOT {_t('attion')} ORDER BY ts DESC, uri LIMIT 100")
+
+from siftwell import catalog_more  # noqa: E402, F401  (adds its queries)

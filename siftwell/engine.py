@@ -8,11 +8,13 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.analysis import SIMPLE, Analyzer
-from siftwell.operators import changes, match, postings, rank
+from siftwell.functions.analysis import MAX_FIELD_LENGTH, SIMPLE, Analyzer
+from siftwell.operators import changes, match, rank
+from siftwell.operators.index import Index
 from siftwell.operators.snippets import snippets
 from siftwell.plans import human
 from siftwell.plans.parts import Part, Property, Query
+from siftwell.sources import files, registry
 
 # Scopes that narrow a query to a kind of document, as what a person would type.
 SCOPES = {
@@ -30,12 +32,13 @@ class Engine:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, analyzer: Analyzer = SIMPLE) -> Engine:
-        return cls(spark.read.parquet(f"{path}/documents"), analyzer)
+        return cls(Index(spark, path, analyzer).documents(), analyzer)
 
-    def build(self, path: str, parts: int = 64) -> None:
-        """Write the documents, a folder for each source, and the index sorted by term."""
-        self.docs.write.mode("overwrite").partitionBy("source").parquet(f"{path}/documents")
-        postings.write(postings.build(self.docs, self.analyzer), f"{path}/postings", parts)
+    def build(self, path: str, parts: int = 64, max_field_length: int | None = MAX_FIELD_LENGTH) -> Index:
+        """Write an index of the documents; of each field the first max_field_length terms, or all (None)."""
+        index = Index(self.docs.sparkSession, path, self.analyzer, max_field_length)
+        index.add(self.docs, parts)
+        return index
 
     def query(self, text: str | Query | Part, scope: str | None = None) -> Query:
         found = text if isinstance(text, Query) else human.parse(text) if isinstance(text, str) else Query([text])
@@ -99,20 +102,40 @@ class Engine:
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="siftwell")
-    parser.add_argument("path", help="a folder that build() has written")
-    parser.add_argument("command", choices=["query", "count", "terms", "fields", "info"])
-    parser.add_argument("text", nargs="?", default="")
+    parser.add_argument("path", help="the folder of an index")
+    parser.add_argument("command", choices=["query", "count", "terms", "fields", "info", "build", "extract", "delete", "optimize", "merge", "sweep", "serve"])
+    parser.add_argument("text", nargs="?", default="", help="a query; the files to build from or to extract; a URI to delete; an index to merge")
     parser.add_argument("--max-hits", type=int, default=100)
     parser.add_argument("--scope", choices=sorted(SCOPES))
+    parser.add_argument("--source", default="Files")
+    parser.add_argument("--port", type=int, default=4000)
     found = parser.parse_args(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    engine = Engine.load(spark, found.path)
-    if found.command == "query":
-        engine.search(found.text, found.max_hits, found.scope).select("uri", "ts", "score").show(found.max_hits, False)
-    elif found.command == "count":
-        print(engine.count(found.text, found.scope))
+    index = Index(spark, found.path, SIMPLE)
+    if found.command == "build":
+        index.update(registry.SOURCES[found.source].load(spark, found.text)) if index.segments() else index.add(registry.SOURCES[found.source].load(spark, found.text))
+    elif found.command == "extract":
+        files.read(spark, found.text).select("path", "file_type", "text", "properties", "error").show(found.max_hits, False)
+    elif found.command == "delete":
+        index.delete(spark.createDataFrame([(found.text,)], "uri string"))
+    elif found.command == "optimize":
+        index.optimize()
+    elif found.command == "merge":
+        index.add_index(Index(spark, found.text, SIMPLE))
+    elif found.command == "sweep":
+        print("\n".join(index.sweep()))
+    elif found.command == "serve":
+        from siftwell.service import Service, http_server
+
+        http_server(Service(index), found.port).serve_forever()
     else:
-        {"terms": engine.term_frequencies, "fields": engine.fields, "info": engine.info}[found.command]().show(found.max_hits, False)
+        engine = Engine(index.documents())
+        if found.command == "query":
+            engine.search(found.text, found.max_hits, found.scope).select("uri", "ts", "score").show(found.max_hits, False)
+        elif found.command == "count":
+            print(engine.count(found.text, found.scope))
+        else:
+            {"terms": engine.term_frequencies, "fields": engine.fields, "info": engine.info}[found.command]().show(found.max_hits, False)
 
 
 if __name__ == "__main__":

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.arrays import before, let
 from siftwell.shipping import ship
 
-#: Terms of a field beyond this aren't indexed.
+#: Terms of a field that an index takes unless it is told otherwise; analyzers themselves have no limit.
 MAX_FIELD_LENGTH = 10_000
 #: Longer runs are parted.
 MAX_TOKEN = 255
@@ -43,40 +45,95 @@ def _letters(s: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Analyzer:
+    """Terms by name; of a field at most the first most, and of these only those of lengths from least to longest."""
+
     name: str
+    most: int | None = None
+    least: int = 0
+    longest: int | None = None
 
     def column(self, text: Column) -> Column:
         """The terms of a text in order; a null text has none."""
         text = F.coalesce(text, F.lit(""))
         if self.name == "keyword":
-            return F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-        if self.name == "whitespace":
+            terms = F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+        elif self.name == "whitespace":
             terms = F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
         elif self.name == "letter":
             terms = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))
         elif self.name == "standard":
-            return F.slice(standard_terms(text), 1, MAX_FIELD_LENGTH)
+            terms = indexed_terms(text)
         else:
             terms = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
         if self.name == "stop":
             terms = F.filter(terms, lambda t: ~t.isin(STOP_WORDS))
-        return F.slice(terms, 1, MAX_FIELD_LENGTH)
+        if self.least or self.longest:
+            terms = F.filter(terms, lambda t: (F.length(t) >= self.least) & (F.length(t) <= (self.longest or 1 << 30)))
+        return F.slice(terms, 1, self.most) if self.most else terms
 
     def terms(self, text: str) -> list[str]:
-        """The same for a query's text."""
+        """The same for a query's text, without the pieces of addresses and with no most."""
         if self.name == "keyword":
-            return [text] if text else []
-        if self.name == "whitespace":
-            return text.split()
-        if self.name == "letter":
-            return _letters(text)
-        found = _letters(text.lower())
-        return [t for t in found if t not in STOP_WORDS] if self.name in ("stop", "standard") else found
+            found = [text] if text else []
+        elif self.name == "whitespace":
+            found = text.split()
+        elif self.name == "letter":
+            found = _letters(text)
+        elif self.name == "standard":
+            found = standard_query_terms(text)
+        else:
+            found = [t for t in _letters(text.lower()) if self.name != "stop" or t not in STOP_WORDS]
+        return [t for t in found if self.least <= len(t) <= (self.longest or 1 << 30)]
+
+
+@dataclass(frozen=True)
+class PerField:
+    """An analyzer for each field, and one for the others."""
+
+    other: Analyzer
+    fields: Mapping[str, Analyzer]
+
+    def of(self, field: str) -> Analyzer:
+        return self.fields.get(field, self.other)
+
+    def column(self, field: Column, text: Column) -> Column:
+        """The terms of a text by the name of its field in another column."""
+        found = self.other.column(text)
+        for name, analyzer in self.fields.items():
+            found = F.when(field == name, analyzer.column(text)).otherwise(found)
+        return found
 
 
 SIMPLE, STOP, WHITESPACE, LETTER, KEYWORD, STANDARD_ANALYZER = (Analyzer(n) for n in ("simple", "stop", "whitespace", "letter", "keyword", "standard"))
 
 
+def stop_words(lines: list[str]) -> list[str]:
+    """The words of a list, one a line; what follows a bar is a remark."""
+    return [w for w in (x.partition("|")[0].strip().lower() for x in lines) if w]
+
+
+TOKENS = "array<struct<term:string,start:int,end:int,position:int>>"
+
+
+def tokens(text: Column, pattern: str = r"\p{L}+") -> Column:
+    """The runs of a pattern in lower case with their place in the text and among the terms."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    gaps = F.transform(F.split(text, pattern), lambda x: F.length(x))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, t: F.struct(g.alias("g"), t.alias("t")))
+    def placed(ps: Column) -> Column:
+        at = before(F.transform(ps, lambda x: x["g"] + F.length(x["t"])), lambda a, x: a + x)
+
+        return let(at, lambda starts: F.zip_with(ps, F.transform(starts, lambda x, k: F.struct(x.alias("a"), k.alias("k"))), _token))
+
+    return let(pairs, placed)
+
+
+def _token(x: Column, y: Column) -> Column:
+    start = y["a"] + x["g"]
+    return F.struct(F.lower(x["t"]).alias("term"), start.alias("start"), (start + F.length(x["t"])).alias("end"), y["k"].alias("position"))
+
+
 def is_noise(t: Column) -> Column:
     """Terms not worth a place: over 30 letters, or of mixed kinds and long, or changing kind often."""
     n = F.length(t)
@@ -90,7 +147,44 @@ def standard_terms(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(STANDARD), F.lit(1))
     bare = F.transform(found, lambda t: F.when(t.rlike(r"^\p{L}\.(\p{L}\.)+$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(F.regexp_replace(t, "'[sS]$", "")))
     low = F.transform(bare, lambda t: F.lower(t))
-    return F.filter(F.transform(low, lambda t: F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+", "")).otherwise(t)), lambda t: ~t.isin(STOP_WORDS) & ~is_noise(t) & (t != ""))
+
+    def kept(t: Column) -> Column:
+        # Addresses and hosts aren't noise, and numbers with signs only if long.
+        whole = t.contains("@") | t.rlike(_NUMBER) & (F.length(t) <= MAX_NUMBER)
+        return ~t.isin(STOP_WORDS) & (whole | ~is_noise(t)) & (t != "")
+
+    return F.filter(F.transform(low, lambda t: F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+", "")).otherwise(t)), kept)
+
+
+#: A number with signs, and how long one may be.
+_NUMBER, MAX_NUMBER = r"^[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*([._,/-][\p{L}\p{N}]+)+$", 20
+
+
+def indexed_terms(text: Column) -> Column:
+    """The standard terms, and behind them the pieces of addresses and hosts."""
+    terms = standard_terms(text)
+    pieces = F.transform(F.filter(terms, lambda t: t.contains("@") | (t.contains(".") & t.rlike(r"\p{L}"))), lambda t: F.filter(address_parts(t), lambda x: (x != t) & (x != "")))
+    return F.concat(terms, F.flatten(pieces))
+
+
+def standard_query_terms(text: str) -> list[str]:
+    """The standard terms of a query's text, by the same patterns."""
+    import regex  # its classes are those of the JVM
+
+    out = []
+    for m in regex.finditer(STANDARD.replace("IsHan", "Han").replace("IsHiragana", "Hiragana").replace("IsKatakana", "Katakana"), text):
+        t = m[0]
+        t = t.replace(".", "") if regex.fullmatch(r"\p{L}\.(\p{L}\.)+", t) else regex.sub("'[sS]$", "", t)
+        t = t.lower()
+        if regex.fullmatch("[0-9]+", t):
+            t = t.lstrip("0")
+        kinds = regex.sub(r"[^a0]+", "-", regex.sub(r"\p{N}+", "0", regex.sub(r"\p{L}+", "a", t)))
+        has = [bool(regex.search(p, t)) for p in (r"\p{N}", r"\p{L}", r"[^\p{L}\p{N}]")]
+        noise = len(t) > 30 or len(kinds) - 1 >= 4 or (len(t) > 10 and has[0] and (not has[1] or has[2]))
+        whole = "@" in t or (len(t) <= MAX_NUMBER and regex.search(_NUMBER, t))
+        if t and t not in STOP_WORDS and (whole or not noise):
+            out.append(t)
+    return out
 
 
 def address_parts(t: Column) -> Column:
@@ -197,12 +291,15 @@ def stem_english(word: str) -> str:
     return word.lower()
 
 
-def stemmed_vocabulary(words: DataFrame, column: str) -> DataFrame:
+def stemmed_vocabulary(words: DataFrame, column: str, language: str = "english") -> DataFrame:
     """word and stem of the distinct words of a column: the vocabulary is stemmed, not the corpus."""
+    from siftwell.functions.stemming import STEMMERS
+
     ship(words.sparkSession)
+    one: Callable[[str], str] = STEMMERS[language]
 
     @F.pandas_udf("string")
     def stem(s: pd.Series) -> pd.Series:
-        return s.map(stem_english)
+        return s.map(one, na_action="ignore")
 
     return words.select(F.col(column).alias("word")).distinct().select("word", stem("word").alias("stem"))

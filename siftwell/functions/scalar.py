@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,3 +146,164 @@ def fold_accents(s: Column) -> Column:
     for a, b in [("Æ", "AE"), ("Œ", "OE"), ("Þ", "TH"), ("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("þ", "th")]:
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
+
+
+# --- dates and durations that people read --------------------------------------------------------------------------
+
+
+def fuzzy_date(ts: Column, now: Column, twelve_hours: bool = False) -> Column:
+    """Today, Yesterday, the weekday within a week, the day within the year, or the whole date; with the time of day."""
+    days = F.datediff(now, ts)
+    clock = F.date_format(ts, "h:mm a" if twelve_hours else "HH:mm")
+    day = F.when(days == 0, "Today").when(days == 1, "Yesterday").when((days > 1) & (days < 7), F.date_format(ts, "EEEE"))
+    day = day.when(F.year(ts) == F.year(now), F.date_format(ts, "MMMM d")).otherwise(F.date_format(ts, "MMMM d, yyyy"))
+    return F.concat_ws(" ", day, clock)
+
+
+def pretty_date(ts: Column, now: Column) -> Column:
+    """Today, Yesterday, so many days ago within a week, or the date."""
+    days = F.datediff(now, ts)
+    ago = F.concat(days.cast("string"), F.lit(" days ago"))
+    return F.when(days == 0, "Today").when(days == 1, "Yesterday").when((days > 1) & (days < 7), ago).otherwise(F.date_format(ts, "yyyy-MM-dd"))
+
+
+def pretty_duration(seconds: Column) -> Column:
+    """Hours and minutes in words; less than a minute is said so."""
+    h, m = F.floor(seconds / 3600), F.floor(seconds / 60) % 60
+
+    def counted(n: Column, unit: str) -> Column:
+        return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise("")))
+
+    words = F.concat_ws(" ", counted(h, "hour"), counted(m, "minute"))
+    return F.when(seconds < 60, "less than a minute").otherwise(words)
+
+
+def from_unix_time(seconds: Column) -> Column:
+    """The time, in UTC, so many seconds after the beginning of 1970."""
+    return F.timestamp_seconds(seconds)
+
+
+#: What a date is cut down to: its name, how Spark cuts and how it is written.
+RESOLUTIONS = {"year": ("YEAR", "yyyy"), "month": ("MONTH", "yyyyMM"), "day": ("DAY", "yyyyMMdd"), "hour": ("HOUR", "yyyyMMddHH"), "minute": ("MINUTE", "yyyyMMddHHmm"), "second": ("SECOND", "yyyyMMddHHmmss"), "millisecond": ("MILLISECOND", "yyyyMMddHHmmssSSS")}
+
+
+def date_at(ts: Column, resolution: str) -> Column:
+    """A time as digits of a resolution; texts of one resolution sort as times do."""
+    unit, form = RESOLUTIONS[resolution]
+    return F.date_format(F.date_trunc(unit, ts), form)
+
+
+def number_string(n: Column, width: int = 14) -> Column:
+    """A whole number as a text that sorts as numbers do: a sign, and base 36 with leading zeros (from the least number on below zero)."""
+    below = F.when(n < 0, n + F.lit(2**63 - 1) + 1).otherwise(n)
+    digits = F.lpad(F.lower(F.conv(below.cast("string"), 10, 36)), width - 1, "0")
+    return F.concat(F.when(n < 0, "-").otherwise("0"), digits)
+
+
+def string_number(s: Column) -> Column:
+    """The whole number that number_string() has written; null for anything else."""
+    digits = F.conv(F.upper(F.substring(s, 2, 64)), 36, 10).try_cast("decimal(20,0)")
+    return F.when(s.rlike("^[-0][0-9a-z]+$"), (digits - F.when(s.startswith("-"), F.lit(str(2**63)).cast("decimal(20,0)")).otherwise(F.lit(0))).try_cast("bigint"))
+
+
+# --- addresses -----------------------------------------------------------------------------------------------------
+
+#: Characters that stand as they are in an address.
+_PLAIN = "A-Za-z0-9/:._~!$&'()*+,;=@-"
+
+
+def hex_escape(s: Column) -> Column:
+    """Bytes of UTF-8 that aren't plain as %XX."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    pairs = lambda c: F.regexp_replace(F.hex(c.cast("binary")), "(..)", "%$1")
+    return F.array_join(F.transform(chars, lambda c: F.when(c.rlike(f"^[{_PLAIN}]$"), c).otherwise(pairs(c))), "")
+
+
+def hex_unescape(s: Column) -> Column:
+    """%XX taken back to bytes of UTF-8; a percent sign without two digits stays."""
+    whole = F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B")))
+
+
+def path_uri(path: Column) -> Column:
+    """The address of a file."""
+    return F.concat(F.lit("file://"), hex_escape(path))
+
+
+def uri_path(uri: Column) -> Column:
+    """The path of a file's address; null for other schemes."""
+    return F.when(uri.startswith("file://"), hex_unescape(F.regexp_replace(F.regexp_replace(uri, "^file://", ""), "#.*$", "")))
+
+
+def with_fragment(uri: Column, fragment: Column) -> Column:
+    """The address of a part of a document; a part of a part goes on behind a colon."""
+    return F.concat(uri, F.when(uri.contains("#"), ":").otherwise("#"), fragment)
+
+
+def same_uri(a: Column, b: Column) -> Column:
+    """If addresses are the same however they are escaped; the fragment counts."""
+    return hex_unescape(a).eqNullSafe(hex_unescape(b))
+
+
+def short_guid(guid: Column) -> Column:
+    """The 16 bytes of a GUID in 22 letters that an address may have."""
+    return F.translate(F.rtrim(F.base64(F.unhex(F.replace(guid, F.lit("-"), F.lit("")))), F.lit("=")), "+/", "-_")
+
+
+def long_guid(short: Column) -> Column:
+    """A GUID from its short form."""
+    h = F.lower(F.hex(F.unbase64(F.concat(F.translate(short, "-_", "+/"), F.lit("==")))))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
+def guid_uri(guid: Column) -> Column:
+    return F.concat(F.lit("uid:"), short_guid(guid))
+
+
+# --- versions, patterns and terms ------------------------------------------------------------------------------------
+
+
+def is_newer(ts: Column, other: Column) -> Column:
+    """If a version is newer: one with a time is newer than one without."""
+    return F.when(ts.isNull(), F.lit(False)).otherwise(F.coalesce(ts > other, F.lit(True)))
+
+
+def is_obsoleted(ts: Column, other: Column) -> Column:
+    """If another version takes its place: one that isn't older and has a time."""
+    return F.when(other.isNull(), F.lit(False)).otherwise(F.coalesce(ts <= other, F.lit(True)))
+
+
+def pattern_regex(patterns: list[str]) -> str:
+    """One regular expression for names: globs and /expressions/; one that can't be read is left out."""
+    parts = []
+    for p in patterns:
+        if len(p) > 1 and p.startswith("/") and p.endswith("/"):
+            try:
+                re.compile(p[1:-1])
+            except re.error:
+                continue
+            parts.append(p[1:-1])
+        elif p:
+            parts.append(glob_regex(p)[1:-1])
+    return "^(?:" + "|".join(f"(?:{p})" for p in parts) + ")$"
+
+
+def found_terms(s: Column, terms: list[str], whole_words: bool = True) -> Column:
+    """The terms, in the order given, that a text has; whole words if asked, whatever the case."""
+    edge = (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])") if whole_words else ("", "")
+    tests = [F.when(s.rlike("(?i)" + edge[0] + "".join(_literal(c) for c in t) + edge[1]), F.lit(t)) for t in terms]
+    return F.array_compact(F.array(*tests))
+
+
+def expand_variables(s: str, environment: Mapping[str, str] | None = None) -> str | None:
+    """A path with $NAME replaced on the driver; null if the last variable isn't set, others that aren't become empty."""
+    environment = os.environ if environment is None else environment
+    names = re.findall(r"\$(\w+)", s)
+    if names and names[-1] not in environment:
+        return None
+    return re.sub(r"\$(\w+)", lambda m: environment.get(m[1], ""), s)
+
+
+def without_html(s: Column) -> Column:
+    """Lines of a feed without tags and entities."""
+    return F.array_join(F.transform(F.split(s, "\r?\n"), lambda x: decode_entities(strip_tags(x))), "\n")

@@ -7,6 +7,8 @@ All is expressed as joins on uri, so a batch touches the state once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +54,37 @@ def carried(mutable: DataFrame, adds: DataFrame) -> DataFrame:
 
 
 def changed(mutable: DataFrame, changes: DataFrame) -> DataFrame:
-    """Mutable properties after changes (uri, key, value): same keys are replaced, empty values take a key away."""
-    last = changes.select("uri", "key", "value").distinct()
-    rest = mutable.join(last.select("uri", "key").distinct(), ["uri", "key"], "left_anti")
-    new = last.where(F.col("value").isNotNull() & (F.col("value") != "")).withColumn("persistent", F.lit(False))
-    return rest.unionByName(new.select(*mutable.columns))
+    """Mutable properties after changes (seq, uri, key, value): of a key's changes the last holds, an empty value takes the
+    key away, and a key that was persistent stays so. Without seq, a key must come once."""
+    order = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    last = changes.groupBy("uri", "key").agg(F.max_by(F.struct("value"), order).alias("v")).select("uri", "key", "v.value")
+    rest = mutable.join(last.select("uri", "key"), ["uri", "key"], "left_anti")
+    old = mutable.groupBy("uri", "key").agg(F.max("persistent").alias("persistent"))
+    new = last.where(F.col("value").isNotNull() & (F.col("value") != "")).join(old, ["uri", "key"], "left")
+    return rest.unionByName(new.withColumn("persistent", F.coalesce("persistent", F.lit(False))).select(*mutable.columns))
+
+
+def removed_by_property(documents: DataFrame, kind: str, key: str, value: str) -> DataFrame:
+    """Documents without those that have a property, and without their children."""
+    uris = documents.where(F.exists("properties", lambda p: (p["type"] == kind) & (p["key"] == key) & (p["value"] == value))).select("uri")
+    return removed(documents, uris)
+
+
+def changed_children(children: DataFrame, parents: DataFrame, changes: DataFrame) -> DataFrame:
+    """uri, key, value that children have from their parents after changes (uri, key, value) of these.
+
+    parents: uri, key, value. Only children of changed parents are given.
+    """
+    mutable = parents.select("uri", "key", "value").withColumn("persistent", F.lit(False))
+    after = changed(mutable, changes).join(changes.select("uri").distinct(), "uri", "left_semi")
+    return child_properties(children.join(changes.select(F.col("uri").alias("parent_uri")).distinct(), "parent_uri", "left_semi"), after)
+
+
+def overwritten(properties: DataFrame) -> DataFrame:
+    """Properties (uri, seq, key, value, mutable) of which a mutable one takes the place of the one before; others add up."""
+    once = properties.where("mutable").groupBy("uri", "key").agg(F.max_by(F.struct("seq", "value"), "seq").alias("x"))
+    once = once.select("uri", "x.seq", "key", "x.value", F.lit(True).alias("mutable"))
+    return properties.where(~F.col("mutable")).select("uri", "seq", "key", "value", "mutable").unionByName(once)
 
 
 def child_properties(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -74,24 +102,28 @@ def sessions(lines: DataFrame, group: str, most_lines: int = 50, most_minutes: i
 
     A session ends with its day, and with the first line that comes when it has more than most_lines lines and is
     older than most_minutes. A log's first session begins with the hour of its first line. A day of a log
-    is worked on by itself, so neither a long log nor a busy group is gathered.
+    is sorted by its tasks and read batch by batch, in order, so that a busy one is never in memory as a whole.
     """
     df = lines.select(F.col(group).cast("string").alias("group"), "ts", F.col("line").cast("long").alias("line"), F.to_date("ts").cast("string").alias("day"))
     first = df.groupBy("group").agg(F.min("day").alias("first_day"))
+    # Logs may be few, so these short rows are joined by the optimiser's choice.
     df = df.join(first, "group").where(F.col("ts").isNotNull())
 
-    def cut(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ts", "ascending"), ("line", "ascending")])
-        numbers, begin, n, number = [], None, 0, 1
-        fresh = table.column("day")[0].as_py() == table.column("first_day")[0].as_py()
-        for ts in table.column("ts").to_pylist():
-            if begin is None:
-                begin = ts.replace(minute=0, second=0, microsecond=0) if fresh else ts
-            elif n > most_lines and (ts - begin).total_seconds() > most_minutes * 60:
-                begin, n, number = ts, 0, number + 1
-            n += 1
-            numbers.append(f"{table.column('day')[0].as_py()}/{number}")
-        return pa.table({"group": table.column("group"), "ts": table.column("ts").cast(pa.timestamp("us", "UTC")), "line": table.column("line"), "session": pa.array(numbers, pa.string())})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, begin, n, number = None, None, 0, 1
+        for batch in batches:
+            out = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("group", "day", "first_day", "ts")))
+            for name, day, first_day, ts in rows:
+                if (name, day) != at:
+                    at, n, number = (name, day), 0, 1
+                    begin = ts.replace(minute=0, second=0, microsecond=0) if day == first_day else ts
+                elif n > most_lines and (ts - begin).total_seconds() > most_minutes * 60:
+                    begin, n, number = ts, 0, number + 1
+                n += 1
+                out.append(f"{day}/{number}")
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("ts"), batch.column("line"), pa.array(out, pa.string())], ["group", "ts", "line", "session"])
 
     ship(lines.sparkSession)
-    return df.groupBy("group", "day").applyInArrow(cut, "group string, ts timestamp, line long, session string")
+    dealt = df.repartition("group", "day").sortWithinPartitions("group", "day", "ts", "line")
+    return dealt.mapInArrow(cut, "group string, ts timestamp, line long, session string")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.analysis import Analyzer
 from siftwell.functions.scalar import levenshtein_similarity, wildcard_regex
-from siftwell.plans.parts import FIRST_DATE, LAST_DATE, PROHIBITED, And, DateRange, Fuzzy, MatchAll, Or, Part, Prefix, Property, Query, Text, TermRange, Uri, Wildcard
+from siftwell.plans.parts import FIRST_DATE, LAST_DATE, PROHIBITED, And, DateRange, Fuzzy, MatchAll, MultiPhrase, Or, Part, Prefix, Property, Query, Text, TermRange, Uri, Wildcard
 
 PROPERTY = "struct<type:string,key:string,value:string,searched:boolean,stored:boolean,mutable:boolean,persistent:boolean>"
 
@@ -69,29 +69,65 @@ def places(terms: Column, word: str) -> Column:
 def sloppy_distance(terms: Column, words: list[str]) -> Column:
     """The least number of moves that brings the words into a phrase, over all their places; null if one is missing.
 
-    A place less the word's number in the phrase is where the phrase would begin; the distance is how far
-    these beginnings are apart.
+    A place less the word's number in the phrase is where the phrase would begin; the distance is the width of the
+    least window with a beginning of every word. Windows are tried by where they start: each word's next
+    beginning from there on, so the work is the number of beginnings times that of words.
     """
-    starts = [_shifted(terms, w, n) for n, w in enumerate(words)]
-    return F.array_min(F.transform(starts[0], lambda a: _spread(a, starts[1:])))
+    starts = F.array_sort(F.array_distinct(F.flatten(F.array(*[_shifted(terms, w, n) for n, w in enumerate(words)]))))
+    lists = [_shifted(terms, w, n) for n, w in enumerate(words)]
+
+    def width(low: Column) -> Column:
+        # The first of a sorted list from low on; null where a word has none left.
+        nexts = [F.array_min(F.filter(x, lambda p: p >= low)) for x in lists]
+        missing = nexts[0].isNull()
+        for x in nexts[1:]:
+            missing = missing | x.isNull()
+        last = F.greatest(*nexts) if len(nexts) > 1 else nexts[0]
+        return F.when(~missing, last - low)
+
+    return F.array_min(F.transform(starts, width))
 
 
 def _shifted(terms: Column, word: str, n: int) -> Column:
     return F.transform(places(terms, word), lambda p: p - n)
 
 
-def _spread(a: Column, others: list[Column]) -> Column:
-    """The least width of a window that holds a and one of each of the others."""
-    if len(others) == 1:
-        return F.array_min(F.transform(others[0], lambda b: F.abs(a - b)))
-    head, rest = others[0], others[1:]
-    return F.array_min(F.transform(head, lambda b: _window(a, b, rest)))
+def multi_phrase_places(terms: Column, words: list[list[str]]) -> Column:
+    """Where a phrase begins that has one of several words at each place."""
+
+    def here(t: Column, i: Column) -> Column:
+        ok = t.isin(words[0])
+        for k, ws in enumerate(words[1:], 1):
+            ok = ok & F.coalesce(F.get(terms, i + k).isin(ws), F.lit(False))
+        return F.when(ok, i)
+
+    return F.array_compact(F.transform(terms, here))
+
+
+# --- filters of hits, behind a search ----------------------------------------------------------------------------------
 
 
-def _window(low: Column, high: Column, others: list[Column]) -> Column:
-    if not others:
-        return F.greatest(low, high) - F.least(low, high)
-    return F.array_min(F.transform(others[0], lambda c: _window(F.least(low, high, c), F.greatest(low, high, c), others[1:])))
+def all_of(*filters: Column) -> Column:
+    return reduce(lambda a, b: a & b, filters, F.lit(True))
+
+
+def any_of(*filters: Column) -> Column:
+    return reduce(lambda a, b: a | b, filters) if filters else F.lit(False)
+
+
+def none_of(*filters: Column) -> Column:
+    return ~any_of(*filters)
+
+
+def filtered(hits: DataFrame, test: Column) -> DataFrame:
+    """The hits that a filter leaves; a null test drops a hit."""
+    return hits.where(F.coalesce(test, F.lit(False)))
+
+
+def existing(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """The hits whose file is still there (files: uri), with their present address where it has another (now_uri)."""
+    there = files.select(F.col("uri").alias("__uri"), *([F.col("now_uri").alias("__now")] if "now_uri" in files.columns else [F.lit(None).cast("string").alias("__now")]))
+    return hits.join(there, F.col("uri") == F.col("__uri")).withColumn("uri", F.coalesce("__now", "uri")).drop("__uri", "__now")
 
 
 class Matcher:
@@ -127,9 +163,11 @@ class Matcher:
             return self._any_term(lambda t: t.startswith(p.prefix))
         if isinstance(p, Fuzzy):
             near = lambda t: t.startswith(p.term[: p.prefix]) & (levenshtein_similarity(t, p.term, p.prefix) > p.similarity)
-            return F.exists("terms", near)
+            return self._in(p.key, lambda ts: F.exists(ts, near))
         if isinstance(p, TermRange):
-            return F.exists("terms", lambda t: _between(t, p))
+            return self._in(p.key, lambda ts: F.exists(ts, lambda t: _between(t, p)))
+        if isinstance(p, MultiPhrase):
+            return F.size(multi_phrase_places(F.col("terms"), p.words)) > 0
         if isinstance(p, Property):
             return self._property(p)
         if isinstance(p, DateRange):
@@ -149,13 +187,23 @@ class Matcher:
             return self.tree(p.parts)
         raise TypeError(f"no such part: {p!r}")
 
+    def _in(self, key: str | None, test) -> Column:
+        """A test of the text's terms, or of those of a text property."""
+        if key is None:
+            return test(F.col("terms"))
+        return F.exists("properties", lambda x: (x["type"] == "t") & (x["key"] == key) & test(self.analyzer.column(x["value"])))
+
     def _property(self, p: Property) -> Column | None:
         of_key = (lambda x: x["searched"]) if p.key == "_all" else (lambda x: x["key"] == p.key)
         if p.kind == "t":
             words = self.analyzer.terms(p.value)
             if not words:
                 return None
-            return F.exists("properties", lambda x: (x["type"] == "t") & of_key(x) & _phrase(self.analyzer.column(x["value"]), words))
+            if p.slop and len(words) > 1:
+                test = lambda t: F.coalesce(sloppy_distance(t, words) <= p.slop, F.lit(False))
+            else:
+                test = lambda t: _phrase(t, words)
+            return F.exists("properties", lambda x: (x["type"] == "t") & of_key(x) & test(self.analyzer.column(x["value"])))
         wanted = p.value if p.key.startswith("_private:") else p.value.lower()
         return F.exists("properties", lambda x: (x["type"] == p.kind) & of_key(x) & (normal(x["key"], x["value"]) == wanted))
 

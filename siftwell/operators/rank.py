@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.storage import written
+
 
 def frequency(terms: Column, word: str) -> Column:
     return F.size(F.filter(terms, lambda t: t == word))
@@ -67,10 +69,14 @@ def recent_per_source(hits: DataFrame, most: int, source: str = "source") -> Dat
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
 
 
-def in_order(hits: DataFrame, by: str) -> DataFrame:
-    """relevance, name or modified; ties by the latest, then the URI."""
+def order_of(by: str) -> list[Column]:
+    """The keys of an order: relevance, name or modified; ties by the latest, then the URI."""
     keys = {"relevance": [F.desc("score")], "name": [F.lower("name")], "modified": []}[by]
-    return hits.orderBy(*keys, F.desc_nulls_last("ts"), "uri")
+    return [*keys, F.desc_nulls_last("ts"), F.col("uri")]
+
+
+def in_order(hits: DataFrame, by: str) -> DataFrame:
+    return hits.orderBy(*order_of(by))
 
 
 def unique(hits: DataFrame, rank: str) -> DataFrame:
@@ -95,11 +101,78 @@ def timeline(ts: Column, now: Column) -> Column:
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """term, df and cf over all documents; terms are first counted within a document."""
-    own = docs.select(F.explode("terms").alias("term"), "uri")
-    return own.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.count_distinct("uri").alias("df"))
+    """term, df and cf over all documents; terms are first counted within a document, so each is one row of it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    within = rows.groupBy("row", "term").agg(F.count(F.lit(1)).alias("n"))
+    return within.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
 
 def term_vector(docs: DataFrame) -> DataFrame:
     """uri, term, tf and the first and last place of each term of each document."""
     return docs.select("uri", F.posexplode("terms").alias("pos", "term")).groupBy("uri", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """df with the place of each row in an order, from zero; no task numbers all rows, as places come from the counts
+    of the order's ranges."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = written(spread.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}), "numbered")
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    # A row for each range; there are as many as shuffle partitions.
+    before = sizes.select("__part", "__first", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.col("__before") + F.col("__id") - F.col("__first")
+    return parts.join(F.broadcast(before), "__part").withColumn(name, place).drop("__part", "__id", "__first", "__before")
+
+
+def batches(hits: DataFrame, size: int = 25) -> DataFrame:
+    """Hits with the number of the message that each goes out in, the latest first."""
+    return numbered(hits, F.desc_nulls_last("ts"), F.col("uri"), name="batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
+
+
+def sliced(hits: DataFrame, start: int, limit: int, *order: Column | str) -> DataFrame:
+    """Rows start to start + limit of an order."""
+    return hits.orderBy(*order).offset(start).limit(limit)
+
+
+def block_sample(docs: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """Documents of a share of the blocks of 1,024 row numbers (of the URIs' hashes), whole blocks at a time."""
+    block = F.shiftright(F.xxhash64("uri"), 10)
+    return docs.where(F.pmod(F.xxhash64(block, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def event_rate(events: DataFrame, ts: str, window: str = "1 hour") -> DataFrame:
+    """start, n and per_second of each window of time."""
+    found = events.groupBy(F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    return found.select(F.col("w.start").alias("start"), "n", (F.col("n") / seconds).alias("per_second"))
+
+
+def source_status(docs: DataFrame) -> DataFrame:
+    """source, items, the latest time, and whether it has any text, of each source."""
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("items"), F.max("ts").alias("latest"), F.max(F.col("text").isNotNull()).alias("has_text"))
+
+
+def matches_and_returned(hits: DataFrame, most: int, source: str = "source") -> DataFrame:
+    """How many hits each source has, and how many of them are given."""
+    return hits.groupBy(source).agg(F.count(F.lit(1)).alias("matches")).withColumn("returned", F.least("matches", F.lit(most).cast("long")))
+
+
+def explained(hits: DataFrame, docs: DataFrame, words: list[str]) -> DataFrame:
+    """scored() hits with an explanation: for each word its frequency, idf and share, whether it matches, and the sum."""
+    found = scored(hits, docs, words)
+    distinct = list(dict.fromkeys(words))
+    parts = []
+    for w in words:
+        tf, weight = frequency(F.col("terms"), w), idf(F.col("n_docs"), F.col(f"df_{distinct.index(w)}"))
+        parts.append(F.struct(F.lit(w).alias("word"), (tf > 0).alias("match"), tf.alias("freq"), F.sqrt(tf).alias("tf"), weight.alias("idf"), (F.sqrt(tf) * weight).alias("value")))
+    return found.withColumn("explanation", F.struct(F.col("score").alias("value"), F.lit("sum of").alias("description"), F.array(*parts).alias("details")))
+
+
+def boosted(scores: list[tuple[Column, float]], coordinated: bool = True) -> Column:
+    """The sum of clauses' scores times their boosts, times the share of clauses that have one if coordinated; with a score of
+    null for a clause that doesn't match, an optional clause only adds."""
+    total, there = F.lit(0.0), F.lit(0)
+    for score, boost in scores:
+        total = total + F.coalesce(score * boost, F.lit(0.0))
+        there = there + F.when(score > 0, 1).otherwise(0)
+    return total * there / len(scores) if coordinated else total

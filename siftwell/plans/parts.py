@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
@@ -15,6 +16,8 @@ FIRST_DATE, LAST_DATE = datetime(1970, 1, 1), datetime(2038, 12, 31)
 @dataclass
 class Part:
     logic: str = field(default=REQUIRED, kw_only=True)
+    #: What its score is multiplied by.
+    boost: float = field(default=1.0, kw_only=True)
 
 
 @dataclass
@@ -42,6 +45,7 @@ class Fuzzy(Part):
     term: str
     similarity: float = 0.5
     prefix: int = 0
+    key: str | None = None  # a text property instead of the text
 
 
 @dataclass
@@ -49,6 +53,14 @@ class TermRange(Part):
     low: str | None
     high: str | None
     inclusive: bool = True
+    key: str | None = None
+
+
+@dataclass
+class MultiPhrase(Part):
+    """A phrase with several words to choose from at each place."""
+
+    words: list[list[str]]
 
 
 @dataclass
@@ -56,6 +68,7 @@ class Property(Part):
     kind: str  # t, k or d
     key: str  # or _all
     value: str
+    slop: int = field(default=0, kw_only=True)
 
 
 @dataclass
@@ -88,6 +101,19 @@ class MatchAll(Part):
     pass
 
 
+def rewritten(part: Part, hook: Callable[[Part], Part | None]) -> Part:
+    """A tree in which a source's hook has put its own parts in place of others (None: it stays)."""
+    found = hook(part)
+    if found is not None:
+        found.logic = part.logic
+        return found
+    if isinstance(part, Or):
+        return replace(part, parts=[rewritten(p, hook) for p in part.parts])
+    if isinstance(part, And):
+        return replace(part, parts=[rewritten(p, hook) for p in part.parts])
+    return part
+
+
 @dataclass
 class Query:
     parts: list[Part]

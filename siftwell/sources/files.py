@@ -31,8 +31,18 @@ from pyspark.sql import functions as F
 
 from siftwell.shipping import ship
 
-#: What is taken from an archive at most: members, bytes of a member and of all.
-MOST_CHILDREN, MOST_MEMBER, MOST_TOTAL = 30, 10 << 20, 25 << 20
+
+
+@dataclass
+class Limits:
+    """What is taken from an archive at most: members, bytes of a member and of all. What is left out is said in fixme:left_out."""
+
+    children: int = 30
+    member: int = 10 << 20
+    total: int = 25 << 20
+
+
+LIMITS = Limits()
 
 EXTRACTED = "path string, parent_uri string, mime_type string, file_type string, text string, properties array<struct<type:string,key:string,value:string>>, links array<string>, error string"
 
@@ -170,12 +180,15 @@ def mail(data: bytes) -> Extracted:
 
 def _members(pairs: Iterator[tuple[str, int, Callable[[], bytes]]]) -> Extracted:
     """Names of all members as text, and the first ones that aren't too large as children."""
-    found, total, names = Extracted("archive"), 0, []
+    found, total, names, left_out = Extracted("archive"), 0, [], 0
     for name, size, read in pairs:
         names.append(name)
-        if len(found.children) < MOST_CHILDREN and size <= MOST_MEMBER and total + size <= MOST_TOTAL:
+        if len(found.children) < LIMITS.children and size <= LIMITS.member and total + size <= LIMITS.total:
             total += size
             found.children.append((name, None, read()))
+        else:
+            left_out += 1
+    found.add("k", "fixme:left_out", left_out or None)
     found.text = "\n".join(names)
     return found
 
@@ -194,13 +207,13 @@ def tarred(data: bytes) -> Extracted:
 
 @register("application/x-gzip", "application/gzip", ".gz")
 def gzipped(data: bytes) -> Extracted:
-    inner = gzip.GzipFile(fileobj=io.BytesIO(data)).read(MOST_MEMBER)
+    inner = gzip.GzipFile(fileobj=io.BytesIO(data)).read(LIMITS.member)
     return Extracted("archive", children=[("contents", None, inner)])
 
 
 @register("application/x-bzip", "application/x-bzip2", ".bz2")
 def bzipped(data: bytes) -> Extracted:
-    return Extracted("archive", children=[("contents", None, bz2.BZ2File(io.BytesIO(data)).read(MOST_MEMBER))])
+    return Extracted("archive", children=[("contents", None, bz2.BZ2File(io.BytesIO(data)).read(LIMITS.member))])
 
 
 #: Comment marks of source languages: to the end of the line, pairs, and what quotes strings.
@@ -428,23 +441,24 @@ def jpeg(data: bytes) -> Extracted:
     raise ValueError("no JPEG")
 
 
-@register("application/x-object", "application/x-sharedlib", "application/x-java", "image/x-eps", "application/x-ole-storage", "text/x-patch", "application/x-ms-dos-executable", ".o", ".so", ".class")
+@register("application/x-object", "application/x-sharedlib", "application/x-java", "image/x-eps", "text/x-patch", "application/x-ms-dos-executable", ".o", ".so", ".class")
 def ignored(data: bytes) -> Extracted:
     return Extracted("file")
 
 
-def extractor(mime_type: str | None, path: str) -> Extractor | None:
+def extractor(mime_type: str | None, path: str, data: bytes = b"") -> Extractor | None:
+    """By mime type, by extension, and last by the first bytes."""
     name = path.rpartition("/")[2].lower()
     found = BY_TYPE.get(mime_type or "")
     while not found and "." in name:
         name = name.partition(".")[2]
         found = BY_EXTENSION.get("." + name)
-    return found
+    return found or BY_TYPE.get(more_files.sniffed(data) or "")
 
 
 def rows_of(path: str, mime_type: str | None, data: bytes, parent: str | None = None, depth: int = 0) -> Iterator[tuple]:
     """A row for a file and one for each of its children."""
-    found, error, run = Extracted("file"), None, extractor(mime_type, path)
+    found, error, run = Extracted("file"), None, extractor(mime_type, path, data)
     try:
         if run:
             found = run(data)
@@ -477,3 +491,6 @@ def extract(files: DataFrame) -> DataFrame:
 def read(spark, path: str) -> DataFrame:
     """Extracted files of a folder."""
     return extract(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+from siftwell.sources import more_files  # noqa: E402  (registers its formats with the ones above)
