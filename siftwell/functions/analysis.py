@@ -150,13 +150,14 @@ def standard_terms(text: Column) -> Column:
 
     def kept(t: Column) -> Column:
         # Addresses and hosts aren't noise, and numbers with signs only if long.
-        whole = t.contains("@") | t.rlike(_NUMBER) & (F.length(t) <= MAX_NUMBER)
+        whole = t.contains("@") | t.rlike(_HOST) | t.rlike(_NUMBER) & (F.length(t) <= MAX_NUMBER)
         return ~t.isin(STOP_WORDS) & (whole | ~is_noise(t)) & (t != "")
 
     return F.filter(F.transform(low, lambda t: F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+", "")).otherwise(t)), kept)
 
 
-#: A number with signs, and how long one may be.
+#: A host; a number with signs, and how long one may be.
+_HOST = r"^[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*(\.[\p{L}\p{N}]+)+$"
 _NUMBER, MAX_NUMBER = r"^[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*([._,/-][\p{L}\p{N}]+)+$", 20
 
 
@@ -181,7 +182,7 @@ def standard_query_terms(text: str) -> list[str]:
         kinds = regex.sub(r"[^a0]+", "-", regex.sub(r"\p{N}+", "0", regex.sub(r"\p{L}+", "a", t)))
         has = [bool(regex.search(p, t)) for p in (r"\p{N}", r"\p{L}", r"[^\p{L}\p{N}]")]
         noise = len(t) > 30 or len(kinds) - 1 >= 4 or (len(t) > 10 and has[0] and (not has[1] or has[2]))
-        whole = "@" in t or (len(t) <= MAX_NUMBER and regex.search(_NUMBER, t))
+        whole = "@" in t or regex.search(_HOST, t) or (len(t) <= MAX_NUMBER and regex.search(_NUMBER, t))
         if t and t not in STOP_WORDS and (whole or not noise):
             out.append(t)
     return out

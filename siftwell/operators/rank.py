@@ -101,9 +101,8 @@ def timeline(ts: Column, now: Column) -> Column:
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """term, df and cf over all documents; terms are first counted within a document, so each is one row of it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-    within = rows.groupBy("row", "term").agg(F.count(F.lit(1)).alias("n"))
+    """term, df and cf over all documents: a term's rows are first counted within a document, on the side that they are made."""
+    within = docs.select("uri", F.explode("terms").alias("term")).groupBy("uri", "term").agg(F.count(F.lit(1)).alias("n"))
     return within.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
 
