@@ -1,14 +1,12 @@
-"""What the operators of this subpackage share: written tables, columns and small helpers."""
+"""What the operators of this subpackage share: joins that deal out hot keys, columns and small helpers; written tables are the engine's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.shipping import ship
+from siftwell.storage import forget, shared_dir, written
 
 #: Rows and bytes that an Arrow batch may hold; texts may be long, so batches are kept small.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -24,49 +22,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors.
-
-    Tables are in a folder of the application. Those that a result is read from can't be forgotten before it is;
-    the folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/siftwell-{spark.sparkContext.applicationId}"
-    at, files = _path(spark, folder)
-    files.deleteOnExit(at)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.written_path = path
-    return back
-
-
-def forget(*tables: DataFrame | None) -> None:
-    """Delete tables of written() that no later step reads."""
-    for df in tables:
-        path = getattr(df, "written_path", None)
-        if path:
-            at, files = _path(df.sparkSession, path)
-            files.delete(at, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Before a Python stage: keep Arrow batches small, as a few texts can be very long, and send this
     package to executors that don't have it installed. Smaller batches that are set already stay."""
@@ -120,3 +75,6 @@ def slices(sizes, most: int = SLICE_BYTES):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+__all__ = ["ascii_lower", "counted", "even_join", "forget", "sha256_hex", "shared_dir", "slices", "small_batches", "words_of", "written"]
