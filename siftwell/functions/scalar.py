@@ -195,8 +195,9 @@ def date_at(ts: Column, resolution: str) -> Column:
 
 def number_string(n: Column, width: int = 14) -> Column:
     """A whole number as a text that sorts as numbers do: a sign, and base 36 with leading zeros (from the least number on below zero)."""
-    below = F.when(n < 0, F.try_add(F.try_add(n, F.lit(2**63 - 1)), F.lit(1))).otherwise(n)
-    digits = F.lpad(F.lower(F.conv(below.cast("string"), 10, 36)), width - 1, "0")
+    wide = n.cast("decimal(20,0)")
+    above = F.when(n < 0, wide + F.lit(str(2**63)).cast("decimal(20,0)")).otherwise(wide)
+    digits = F.lpad(F.lower(F.conv(above.cast("string"), 10, 36)), width - 1, "0")
     return F.concat(F.when(n < 0, "-").otherwise("0"), digits)
 
 
