@@ -200,14 +200,15 @@ def _picked(sample: DataFrame, categories: list[str]) -> dict[tuple[str, int], l
     totals = sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).cast("long").alias(c) for c in categories]).collect()  # a row for each fold
     by_fold = [F.sum(F.when(F.col("fold") == f, F.col(m)).otherwise(0)).alias(f"{m}_{f}") for m in measures for f in range(FOLDS)]
     counts = sample.mapInArrow(_counts(categories), fields).groupBy("term").agg(*[F.sum(m).alias(f"{m}_{ALL}") for m in measures], *by_fold)
+    # Counts of the rows outside of each fold first, and then one ratio for each.
     options = []
     for fold in (ALL, *range(FOLDS)):
         own = {m: sum(r[m] for r in totals if r["fold"] != fold) for m in measures}
         left = {m: F.col(f"{m}_{ALL}") - (F.col(f"{m}_{fold}") if fold != ALL else F.lit(0)) for m in measures}
         for c in categories:
-            ratio = F.when(left["n"] >= MIN_ROWS, _ratio(left[c], left["n"], F.lit(own[c]), F.lit(own["n"])))
-            options.append(F.struct(F.lit(c).alias("category"), F.lit(fold).alias("without"), ratio.alias("ratio")))
-    rows = counts.select("term", F.explode_outer(F.filter(F.array(*options), lambda o: o["ratio"] >= MIN_RATIO)).alias("o")).where(F.col("o").isNotNull()).select("term", "o.*")
+            options.append(F.struct(F.lit(c).alias("category"), F.lit(fold).alias("without"), left[c].alias("both"), left["n"].alias("has"), F.lit(own[c]).alias("yes"), F.lit(own["n"]).alias("rows")))
+    rows = counts.where(F.col(f"n_{ALL}") >= MIN_ROWS).select("term", F.explode(F.array(*options)).alias("o")).select("term", "o.*").where(F.col("has") >= MIN_ROWS)
+    rows = rows.withColumn("ratio", _ratio(F.col("both"), F.col("has"), F.col("yes"), F.col("rows"))).where(F.col("ratio") >= MIN_RATIO)
     order = Window.partitionBy("category", "without").orderBy(F.desc("ratio"), "term")
     best = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TERMS).collect()
     found: dict[tuple[str, int], list[str]] = {(c, f): [] for c in categories for f in (ALL, *range(FOLDS))}
@@ -222,10 +223,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     chosen = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most TRAIN_ROWS short rows are broadcast, and one row of each id is kept, however many there are.
+    # At most TRAIN_ROWS short rows are broadcast. Ids are counted first, so that only texts whose ids repeat are shuffled to
+    # keep one of each, however many there are.
+    times = texts.select("doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *categories).agg(F.count(F.lit(1)).alias("times"))
+    there = texts.join(F.broadcast(written(times, "chosen")), "doc_id")
     row = F.max(F.struct(F.xxhash64("text").alias("hash"), "text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *categories).agg(row.alias("row"))
-    sample = written(sample.select("doc_id", _fold(F.col("doc_id")).alias("fold"), *categories, F.col("row.text").alias("text")), "labelled")
+    again = there.where("times > 1").groupBy("doc_id", *categories).agg(row.alias("row")).select("doc_id", *categories, "row.text")
+    sample = there.where("times = 1").select("doc_id", *categories, "text").unionByName(again)
+    sample = written(sample.select("doc_id", _fold(F.col("doc_id")).alias("fold"), *categories, "text"), "labelled")
     if not sample.limit(1).count():
         return Chain([Link(c, {}, [0.0] * k, -35.0, 2.0, ONE_CLASS) for k, c in enumerate(categories)])
     picked = _picked(sample, categories)
