@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of docs. Between stages the rows are written as Parquet and read again.
+
+Hostile cases: a null, empty or short text fails the quality rules; null ids, languages and sources are values of their own;
+repeated rows count each until near-duplicates, of which all rows with the kept id and text stay; texts of any length
+are whole in all stages; an empty table goes through as one; further columns stay as they are until packing.
 """
 
 from __future__ import annotations
