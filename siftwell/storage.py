@@ -26,8 +26,8 @@ def file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage and outlives executors; options are the writer's.
 
     Tables are in a folder of the application. Those that a result is read from can't be forgotten before it is;
     the folder goes when the driver ends.
@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at, files = file_system(spark, folder)
     files.deleteOnExit(at)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_path = path
     return back

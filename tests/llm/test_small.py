@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from itertools import pairwise
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -14,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm import best_fit, bloom, flac, license_index, mcd_rules, minmax_dedup, prefix_bpe, queries, quote_linking, toxicity_chain, url_filter, weak_pii
+from siftwell.llm.shared import written
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -732,6 +734,28 @@ def test_flac_round_trip(docs, hostile, empty):
     assert flac.read_back(flac.store(empty)).count() == 0
 
 
+def test_flac_stored_table_is_small(spark, monkeypatch):
+    """What the query stores takes at most 1.5 times what the documents take, and holds every text."""
+    sf_dir, tables = "/root/testdata/sf0.01", []
+
+    def kept(df, name, **options):
+        tables.append(written(df, name, **options))
+        return tables[-1]
+
+    monkeypatch.setattr(queries, "written", kept)
+    got = rows_of(queries.op9_flac(spark, sf_dir), "doc_id", "n_bytes", "payload_sha256", "media_bytes", "media_sha256")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = []
+    for r in documents:
+        n, data = flac.payload(r["text"])
+        (media,) = flac.encode([data])
+        want.append((r["doc_id"], n, hashlib.sha256(data).hexdigest(), len(media), hashlib.sha256(media).hexdigest()))
+    assert got == sorted(want, key=str)
+    (media,) = tables
+    stored = sum(f.stat().st_size for f in Path(media.written_path).glob("*.parquet"))
+    assert stored <= 1.5 * Path(sf_dir, "documents.parquet").stat().st_size
+
+
 def test_flac_damage_is_seen():
     rng = random.Random(10)
     payload = bytes(rng.choices(b"etaoin shrdlu", k=4096))
