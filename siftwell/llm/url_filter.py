@@ -39,10 +39,11 @@ def parts(url: Column) -> dict[str, Column]:
 
 def canonical(url: Column, host: Column, path: Column) -> Column:
     """The form in which a list has a URL; null without a host."""
-    name = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^www\.", "")
-    place = F.regexp_replace(F.regexp_replace(path, r"(/index)?\.html?$", ""), r"/+$", "")
+    # \z, as $ also stands before a last line end. A parameter with a newline in it is none of the tracking ones.
+    name = F.regexp_replace(F.regexp_replace(host, r":[0-9]*\z", ""), r"^www\.", "")
+    place = F.regexp_replace(F.regexp_replace(path, r"(/index)?\.html?\z", ""), r"/+\z", "")
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(rf"(?s)^(?:{TRACKING})(?:=.*)?$")))
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(rf"^(?:{TRACKING})(?:=[^\n]*)?\z")))
     return F.when(host != "", F.concat(name, place, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))))
 
 
