@@ -81,7 +81,8 @@ def _mix(parts: list[np.ndarray]) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """For each text, its distinct shingle hashes in order."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Lower case first: of a part of a batch a cast array's places begin behind zero, which ascii_lower() gets wrong.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
     flat = lists.flatten()
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)

@@ -916,6 +916,17 @@ def test_near_duplicates_by_brute_force(spark, hostile, empty):
     assert minmax_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_long_texts(spark):
+    """Batches of more text than is worked on at a time."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["alpha", "Bété", "漢字", "zéta"]) + str(rng.randrange(10**6)) for _ in range(9000)) for _ in range(90)]
+    texts += [texts[3], texts[50].upper().replace("É", "é"), texts[40].replace("Bété1", "changed")]
+    rows = list(enumerate(texts))
+    assert sum(len((t or "").encode()) for t in texts) > 2 * (4 << 20)
+    got = rows_of(minmax_dedup.near_duplicates(table(spark, rows).coalesce(1)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_components(rows)
+
+
 def test_one_document_of_each_group_stays(spark):
     rng = random.Random(12)
     rows = list(enumerate([*near_copies(rng, 10, 200, 2), *[prose(rng, 100) for _ in range(5)], None, ""]))
