@@ -32,7 +32,8 @@ from siftwell.llm.shared import counted, even_join, forget, slices, small_batche
 SHINGLE = 5
 LINK_PERCENT = 75
 PERMUTATIONS = 100
-BAND_ROWS = 5
+#: Two classes at a similarity of exactly 0.75 have no band in common with a chance of 6 in a billion.
+BAND_ROWS = 4
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 #: From this many classes in a bucket on, classes that can't reach the similarity with any other are left out.
 CROWDED = 3
@@ -116,8 +117,10 @@ def band_hashes(sets: list[np.ndarray]) -> np.ndarray:
             sign[k, a:b] = np.minimum.reduceat(v, at)
             sign[PERMUTATIONS + k, a:b] = np.maximum.reduceat(v, at)
     out = np.empty((len(sets), BANDS), np.uint64)
-    for j in range(BANDS):  # the values of a band come from different permutations
-        out[:, j] = _mix([np.full(len(sets), j, np.uint64), *(sign[j + BANDS * k] for k in range(BAND_ROWS))])
+    step = PERMUTATIONS // BAND_ROWS
+    for j in range(BANDS):  # the values of a band, least and greatest by turns, come from different permutations
+        rows = [(j + step * k) % PERMUTATIONS + PERMUTATIONS * (k % 2) for k in range(BAND_ROWS)]
+        out[:, j] = _mix([np.full(len(sets), j, np.uint64), *(sign[r] for r in rows)])
     return out
 
 

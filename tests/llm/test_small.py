@@ -927,6 +927,23 @@ def test_near_duplicates_of_long_texts(spark):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_at_the_least_similarity(spark):
+    """Pairs of 3 and 4 shingles; of these, 40 bands of 5 values left two pairs apart."""
+    starts = [18615, 381635, *range(200)]
+    rows = [(2 * k + d, " ".join(f"w{i}x{n}" for n in range(7 + d))) for k, i in enumerate(starts) for d in (0, 1)]
+    got = rows_of(minmax_dedup.near_duplicates(table(spark, rows)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted([(i, 3 + i % 2, i - i % 2, i % 2 == 0) for i, _ in rows], key=str)
+
+
+def test_bands_agree_as_often_as_their_values():
+    rng = np.random.default_rng(22)
+    whole = rng.integers(0, 2**64, (20000, 8), dtype=np.uint64)
+    pairs = [minmax_dedup.band_hashes(list(x)) for x in (whole[:, :7], whole[:, 1:])]
+    agree = (pairs[0] == pairs[1]).mean(axis=0)
+    assert len(agree) == minmax_dedup.BANDS and np.abs(agree - 0.75**minmax_dedup.BAND_ROWS).max() < 0.02
+    assert (pairs[0] == pairs[1]).any(axis=1).all()
+
+
 def test_one_document_of_each_group_stays(spark):
     rng = random.Random(12)
     rows = list(enumerate([*near_copies(rng, 10, 200, 2), *[prose(rng, 100) for _ in range(5)], None, ""]))
