@@ -293,22 +293,38 @@ def self_contained(triples: DataFrame) -> DataFrame:
     return found.select("s", "p", "o", F.coalesce("__part", "__key").alias("part"))
 
 
+def _digest(x: Column) -> list[Column]:
+    """Aggregates that tell sets of texts apart: the sums of the eight words of each text's SHA-256."""
+    words = F.sha2(x, 256)
+    return [F.sum(F.conv(F.substring(words, 8 * k + 1, 8), 16, 10).cast("bigint")).alias(f"h{k}") for k in range(8)]
+
+
 def lean(triples: DataFrame) -> DataFrame:
     """Triples without those of blank subjects that say no more than another subject does.
 
     A blank thing that no triple points to goes if all its predicates and objects are another's (of equals all but the
-    least). Candidates are subjects that share its rarest triple's predicate and object.
+    least). Subjects that say the same are found by a digest of all they say, so that one of each kind goes on; of these
+    candidates are such as say more and share the rarest triple. One that has a triple which none of these says is out first.
     """
-    pointed = triples.select(F.col("o").alias("s")).where(F.col("s").startswith("_:")).distinct()
-    blank = triples.where(F.col("s").startswith("_:")).join(pointed, "s", "left_anti").select("s", "p", "o").distinct()
-    counts = triples.select("s", "p", "o").distinct().groupBy("p", "o").agg(F.count(F.lit(1)).alias("n"))
-    sized = blank.join(counts, ["p", "o"])
-    rarest = sized.groupBy("s").agg(F.min_by(F.struct("p", "o"), F.struct("n", "p", "o")).alias("x"), F.count(F.lit(1)).alias("size")).select("s", "x.p", "x.o", "size")
-    others = triples.select(F.col("s").alias("t"), "p", "o").distinct()
-    pairs = rarest.join(others, ["p", "o"]).where(F.col("s") != F.col("t")).select("s", "t", "size")
-    shared = pairs.join(blank, "s").join(others, ["t", "p", "o"]).groupBy("s", "t", "size").agg(F.count(F.lit(1)).alias("same")).where("same = size")
-    sizes = others.groupBy("t").agg(F.count(F.lit(1)).alias("whole"))
-    gone = shared.join(sizes, "t").where((F.col("whole") > F.col("size")) | ~F.col("t").startswith("_:") | (F.col("t") < F.col("s"))).select("s").distinct()
+    text = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    own = triples.where(F.col("s").isNotNull()).select("s", F.col("o").alias("__o"), F.concat(text("p"), text("o")).alias("said")).distinct()
+    pointed = own.select(F.col("__o").alias("s")).where(F.col("s").startswith("_:")).distinct().withColumn("pointed", F.lit(True))
+    sizes = own.groupBy("s").agg(F.count(F.lit(1)).alias("size"), *_digest(F.col("said")))
+    free = F.col("s").startswith("_:") & F.col("pointed").isNull()
+    subjects = written(sizes.join(pointed, "s", "left").select("s", "size", free.alias("free"), F.array(*[f"h{k}" for k in range(8)]).alias("kind")), "subjects")
+    # Of equals a thing with a name stays before all blank ones.
+    kept = F.min(F.struct(F.col("s").startswith("_:").alias("blank"), "s"))["s"]
+    kinds = written(subjects.groupBy("kind", "size").agg(kept.alias("s"), F.max("free").alias("free")), "kinds")
+    facts = written(own.select("s", "said").join(kinds.select("s", "size", "free"), "s"), "facts")
+    counts = facts.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("largest"))
+    wanted = facts.where("free").join(counts, "said")
+    rarest = wanted.groupBy("s", "size").agg(F.min_by("said", F.struct("n", "said")).alias("said"), F.min("largest").alias("largest")).where("largest > size")
+    others = facts.select(F.col("s").alias("t"), "said", F.col("size").alias("whole"))
+    pairs = rarest.join(others, "said").where("whole > size").select("s", "t", "size")
+    shared = pairs.join(facts.select("s", "said"), "s").join(others.select("t", "said"), ["t", "said"]).groupBy("s", "t", "size").agg(F.count(F.lit(1)).alias("same")).where("same = size")
+    under = kinds.join(shared, "s", "left_semi").select("kind", F.lit(True).alias("under"))
+    least = kinds.select("kind", F.col("s").alias("least"))
+    gone = subjects.where("free").join(least, "kind").join(under, "kind", "left").where((F.col("s") != F.col("least")) | F.col("under")).select("s")
     return triples.join(gone, "s", "left_anti")
 
 
