@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.analysis import Analyzer
 from siftwell.functions.scalar import levenshtein_similarity, wildcard_regex
-from siftwell.plans.parts import FIRST_DATE, LAST_DATE, PROHIBITED, And, DateRange, Fuzzy, MatchAll, MultiPhrase, Or, Part, Prefix, Property, Query, Text, TermRange, Uri, Wildcard
+from siftwell.plans.parts import PROHIBITED, And, DateRange, Fuzzy, MatchAll, MultiPhrase, Or, Part, Prefix, Property, Query, Text, TermRange, Uri, Wildcard
 
 PROPERTY = "struct<type:string,key:string,value:string,searched:boolean,stored:boolean,mutable:boolean,persistent:boolean>"
 
@@ -208,14 +208,24 @@ class Matcher:
         return F.exists("properties", lambda x: (x["type"] == p.kind) & of_key(x) & (normal(x["key"], x["value"]) == wanted))
 
     def _dates(self, p: DateRange) -> Column:
-        low, high = p.start or FIRST_DATE, p.end or LAST_DATE
-        if low > high:
+        low, high = p.start, p.end
+        if low and high and low > high:
             low, high = high, low
-        low, high = max(low, FIRST_DATE), min(high, LAST_DATE)
-        stamp = F.coalesce(F.col("ts").between(F.lit(low), F.lit(high)), F.lit(False))
-        digits = [d.strftime("%Y%m%d%H%M%S") for d in (low, high)]  # dates as text compare as times do
+
+        def within(x: Column, after, before) -> Column:
+            # An open end has no bound.
+            return reduce(lambda a, b: a & b, [x.isNotNull(), *([after(low)] if low else []), *([before(high)] if high else [])])
+
+        ts = F.col("ts")
+        stamp = F.coalesce(within(ts, lambda d: ts >= F.lit(d), lambda d: ts <= F.lit(d)), F.lit(False))
+
+        def dates(v: Column) -> Column:
+            # As text they compare as times do; years of five digits are after all bounds.
+            late, digits = F.length(v) > 14, lambda d: f"{d.year:04d}{d:%m%d%H%M%S}"
+            return v.rlike("^[0-9]+$") & within(v, lambda d: late | (v >= digits(d)), lambda d: ~late & (v <= digits(d)))
+
         of_key = (lambda x: F.lit(True)) if p.key == "_all" else (lambda x: x["key"] == p.key)
-        dated = F.exists("properties", lambda x: (x["type"] == "d") & of_key(x) & x["value"].between(*digits))
+        dated = F.exists("properties", lambda x: (x["type"] == "d") & of_key(x) & dates(x["value"]))
         return stamp if p.key == "Timestamp" else stamp | dated if p.key == "_all" else dated
 
     def tree(self, parts: list[Part]) -> Column:

@@ -9,8 +9,6 @@ from typing import Any
 
 REQUIRED, PROHIBITED = "required", "prohibited"
 LOCAL, SYSTEM, NEIGHBORHOOD, GLOBAL = 1, 2, 4, 8
-#: The bounds of all date ranges.
-FIRST_DATE, LAST_DATE = datetime(1970, 1, 1), datetime(2038, 12, 31)
 
 
 @dataclass

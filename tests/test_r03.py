@@ -2,10 +2,14 @@
 
 import random
 import time
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from siftwell.operators import triples
+from siftwell.functions import scalar
+from siftwell.functions.analysis import SIMPLE
+from siftwell.operators import match, triples
+from siftwell.plans.parts import DateRange
 
 
 def _lean(rows):
@@ -35,3 +39,17 @@ def test_lean_of_many_that_say_the_same(spark):
     began = time.monotonic()
     assert sorted(map(tuple, triples.lean(df).collect())) == [("_:0", "p", "x"), ("_:0", "q", "x")]
     assert time.monotonic() - began < 60
+
+
+def test_open_date_ranges_have_no_bounds(spark):
+    times = ["1950-06-01 00:00:00", "2024-01-01 00:00:00", "2039-01-01 00:00:00", "9000-01-01 00:00:00", None]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(times)] + [("late", None), ("odd", None)], "uri string, t string")
+    dated = F.when(F.col("uri") == "late", "123450101000000").when(F.col("uri") == "odd", "soon").otherwise(scalar.date_string(F.to_timestamp("t")))
+    docs = df.select("uri", F.to_timestamp("t").alias("ts"), F.lit("").alias("text"), match.properties(match.prop("d", "at", dated)).alias("properties"))
+
+    def found(start, end, key):
+        return "".join(sorted(r["uri"][0] for r in match.Matcher(SIMPLE).search(match.analyzed(docs, SIMPLE), DateRange(start, end, key)).collect()))
+
+    day = datetime(2024, 1, 1)
+    assert [found(*x, "Timestamp") for x in ((day, None), (None, day), (None, None), (datetime(2100, 1, 1), None), (datetime(2050, 1, 1), day))] == ["123", "01", "0123", "3", "12"]
+    assert [found(*x, "at") for x in ((day, None), (None, day), (None, None), (day, datetime(2050, 1, 1)))] == ["123l", "01", "0123l", "12"]
