@@ -16,13 +16,18 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"), ("&nb
 KB, MB = 1024, 1024 * 1024
 
 
+def _digits(ts: Column, form: str) -> Column:
+    """A time by a form; the sign that Java puts before years of more than four digits is left out."""
+    return F.ltrim(F.date_format(ts, form), F.lit("+"))
+
+
 def date_string(ts: Column) -> Column:
-    """yyyyMMddHHmmss in UTC."""
-    return F.date_format(ts, "yyyyMMddHHmmss")
+    """yyyyMMddHHmmss in UTC; years after 9999 have as many digits as they need."""
+    return _digits(ts, "yyyyMMddHHmmss")
 
 
 def year_month(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMM")
+    return _digits(ts, "yyyyMM")
 
 
 def day(ts: Column) -> Column:
@@ -156,7 +161,7 @@ def fuzzy_date(ts: Column, now: Column, twelve_hours: bool = False) -> Column:
     days = F.datediff(now, ts)
     clock = F.date_format(ts, "h:mm a" if twelve_hours else "HH:mm")
     day = F.when(days == 0, "Today").when(days == 1, "Yesterday").when((days > 1) & (days < 7), F.date_format(ts, "EEEE"))
-    day = day.when(F.year(ts) == F.year(now), F.date_format(ts, "MMMM d")).otherwise(F.date_format(ts, "MMMM d, yyyy"))
+    day = day.when(F.year(ts) == F.year(now), F.date_format(ts, "MMMM d")).otherwise(F.replace(F.date_format(ts, "MMMM d, yyyy"), F.lit("+"), F.lit("")))
     return F.concat_ws(" ", day, clock)
 
 
@@ -164,7 +169,7 @@ def pretty_date(ts: Column, now: Column) -> Column:
     """Today, Yesterday, so many days ago within a week, or the date."""
     days = F.datediff(now, ts)
     ago = F.concat(days.cast("string"), F.lit(" days ago"))
-    return F.when(days == 0, "Today").when(days == 1, "Yesterday").when((days > 1) & (days < 7), ago).otherwise(F.date_format(ts, "yyyy-MM-dd"))
+    return F.when(days == 0, "Today").when(days == 1, "Yesterday").when((days > 1) & (days < 7), ago).otherwise(_digits(ts, "yyyy-MM-dd"))
 
 
 def pretty_duration(seconds: Column) -> Column:
@@ -188,9 +193,9 @@ RESOLUTIONS = {"year": ("YEAR", "yyyy"), "month": ("MONTH", "yyyyMM"), "day": ("
 
 
 def date_at(ts: Column, resolution: str) -> Column:
-    """A time as digits of a resolution; texts of one resolution sort as times do."""
+    """A time as digits of a resolution; texts of one resolution sort as times do until the year 9999."""
     unit, form = RESOLUTIONS[resolution]
-    return F.date_format(F.date_trunc(unit, ts), form)
+    return _digits(F.date_trunc(unit, ts), form)
 
 
 def number_string(n: Column, width: int = 14) -> Column:

@@ -53,3 +53,10 @@ def test_open_date_ranges_have_no_bounds(spark):
     day = datetime(2024, 1, 1)
     assert [found(*x, "Timestamp") for x in ((day, None), (None, day), (None, None), (datetime(2100, 1, 1), None), (datetime(2050, 1, 1), day))] == ["123", "01", "0123", "3", "12"]
     assert [found(*x, "at") for x in ((day, None), (None, day), (None, None), (day, datetime(2050, 1, 1)))] == ["123l", "01", "0123l", "12"]
+
+
+def test_years_of_five_digits(spark):
+    df = spark.createDataFrame([(0,), (253402300799,), (253402300800,), (3110363913601,)], "n long").select(scalar.from_unix_time(F.col("n")).alias("ts"))
+    got = df.select(scalar.date_string(F.col("ts")), scalar.date_at(F.col("ts"), "month"), scalar.year_month(F.col("ts")), scalar.pretty_date(F.col("ts"), F.lit("2024-01-01").cast("timestamp"))).collect()
+    assert [tuple(r) for r in got[1:3]] == [("99991231235959", "999912", "999912", "9999-12-31"), ("100000101000000", "1000001", "1000001", "10000-01-01")]
+    assert got[0][0] == "19700101000000" and got[3][0].isdigit()
