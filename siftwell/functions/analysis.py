@@ -119,19 +119,18 @@ def tokens(text: Column, pattern: str = r"\p{L}+") -> Column:
     """The runs of a pattern in lower case with their place in the text and among the terms."""
     text = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern), lambda x: F.length(x))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, t: F.struct(g.alias("g"), t.alias("t")))
-    def placed(ps: Column) -> Column:
-        at = before(F.transform(ps, lambda x: x["g"] + F.length(x["t"])), lambda a, x: a + x)
+    # The text behind the last one has no term.
+    pairs = F.zip_with(F.split(text, pattern), found, lambda g, t: F.struct(F.length(g).alias("g"), F.length(t).alias("n"), t.alias("t")))
 
-        return let(at, lambda starts: F.zip_with(ps, F.transform(starts, lambda x, k: F.struct(x.alias("a"), k.alias("k"))), _token))
+    def placed(ps: Column) -> Column:
+        at = before(F.transform(ps, lambda x: x["g"] + F.coalesce(x["n"], F.lit(0))), lambda a, x: a + x)
+        return let(at, lambda starts: F.transform(F.slice(ps, 1, F.size(ps) - 1), lambda x, k: _token(x, starts[k], k)))
 
     return let(pairs, placed)
 
 
-def _token(x: Column, y: Column) -> Column:
-    start = y["a"] + x["g"]
-    return F.struct(F.lower(x["t"]).alias("term"), start.alias("start"), (start + F.length(x["t"])).alias("end"), y["k"].alias("position"))
+def _token(x: Column, at: Column, k: Column) -> Column:
+    return F.struct(F.lower(x["t"]).alias("term"), (at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), k.alias("position"))
 
 
 def is_noise(t: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Running sums over arrays, in proportion to their length."""
+"""Running sums and groups over arrays, in proportion to their length."""
 
 from __future__ import annotations
 
@@ -32,3 +32,13 @@ def before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
         return F.flatten(F.zip_with(chunks, firsts, run))
 
     return let(values, whole)
+
+
+def groups(values: Column, key: str, part: Callable[[Column], Column]) -> Column:
+    """key, of for each value of a field of an array of structs that is sorted by it: what part makes of its structs."""
+
+    def whole(xs: Column) -> Column:
+        firsts = F.array_compact(F.transform(xs, lambda x, i: F.when((i == 0) | ~F.get(xs, i - 1)[key].eqNullSafe(x[key]), i)))
+        return let(firsts, lambda at: let(F.transform(xs, part), lambda ps: F.transform(at, lambda a, k: F.struct(xs[a][key].alias(key), F.slice(ps, a + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - a).alias("of")))))
+
+    return let(values, whole)

@@ -1,7 +1,8 @@
 """A stored index: segments of documents, postings and vocabulary, commits that name them, and searches on them by joins.
 
-A segment is a folder with three tables: documents (as they were given), postings (field, term, uri, pos; sorted by
-field and term, so that a term's rows are found by the files' statistics) and vocab (field, term, df, cf). A commit is a
+A segment is a folder with three tables: documents (as they were given), postings (field, term, uri and the positions in
+it, in as many files as their bytes ask for; sorted by field and term, so that a term's rows are found by the files'
+statistics) and vocab (field, term, df, cf). A commit is a
 small file that lists segments and the tables of URIs deleted from each; the one of the greatest number holds, so
 readers see a whole state. Fields are Text, PropertyText and PropertyKeyword (what is searched without a field)
 and prop:t:, prop:k: and prop:d: with a key. Queries become semi-joins, anti-joins and unions of URIs; words, phrases
@@ -11,6 +12,7 @@ and ranges read only their terms' rows, and statistics come from the vocabulary.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from functools import reduce
 
@@ -18,16 +20,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.analysis import MAX_FIELD_LENGTH, Analyzer, tokens
+from siftwell.functions.arrays import groups
 from siftwell.functions.scalar import levenshtein_similarity, wildcard_regex
 from siftwell.operators.match import Matcher, normal
 from siftwell.plans.parts import PROHIBITED, And, DateRange, Fuzzy, MatchAll, MultiPhrase, Or, Part, Prefix, Property, Query, Text, TermRange, Uri, Wildcard
 from siftwell.storage import file_system
 
 TEXT, PROPERTY_TEXT, PROPERTY_KEYWORD = "Text", "PropertyText", "PropertyKeyword"
+#: Bytes and rows that a task takes of a stored table, documents or postings.
+TASK_BYTES, TASK_DOCUMENTS, TASK_POSTINGS = 16 << 20, 50_000, 1_000_000
+#: So many terms of a pattern are named in a filter; more are joined.
+NAMED_TERMS = 1000
 
 
-def rows(docs: DataFrame, analyzer: Analyzer, most: int | None = None) -> DataFrame:
-    """field, term, uri, pos of documents; of a field at most the first most terms."""
+def lists(docs: DataFrame, analyzer: Analyzer, most: int | None = None) -> DataFrame:
+    """field, term, uri, positions of documents, a row for each term of a field; of a field at most the first most terms.
+
+    Places are sorted within their document, so that nothing is shuffled.
+    """
     cut = (lambda ts: F.slice(ts, 1, most)) if most else (lambda ts: ts)
     own = F.filter("properties", lambda p: p["type"] == "t")
     searched = F.flatten(F.transform(F.filter(own, lambda p: p["searched"]), lambda p: analyzer.column(p["value"])))
@@ -38,7 +48,14 @@ def rows(docs: DataFrame, analyzer: Analyzer, most: int | None = None) -> DataFr
         F.transform(F.filter("properties", lambda p: (p["type"] == "k") & p["searched"]), lambda p: F.struct(F.lit(PROPERTY_KEYWORD).alias("field"), F.array(normal(p["key"], p["value"])).alias("terms"))),
     )
     fields = docs.select("uri", F.explode_outer(lists).alias("x")).select("uri", "x.field", "x.terms")
-    return fields.select("field", "uri", F.posexplode_outer("terms").alias("pos", "term")).where(F.col("term").isNotNull()).select("field", "term", "uri", "pos")
+    placed = F.sort_array(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    found = fields.select("field", "uri", F.explode_outer(groups(placed, "term", lambda x: x["pos"])).alias("x"))
+    return found.where(F.col("x.term").isNotNull()).select("field", "x.term", "uri", F.col("x.of").alias("positions"))
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """If documents share a URI."""
+    return docs.groupBy("uri").count().where("count > 1").limit(1).count() > 0
 
 
 class Index:
@@ -80,17 +97,31 @@ class Index:
     # --- writing
 
     def add(self, docs: DataFrame, parts: int = 64) -> None:
-        """A new segment; documents whose URIs are there already aren't looked for."""
+        """A new segment of at least so many files of postings; documents whose URIs are there already aren't looked for."""
         name = f"segment-{uuid.uuid4().hex}"
         docs.write.parquet(f"{self.path}/{name}/documents")
         stored = self.spark.read.parquet(f"{self.path}/{name}/documents")
-        postings = rows(stored, self.analyzer, self.most)
-        postings.repartitionByRange(parts, "field", "term", "uri").sortWithinPartitions("field", "term", "uri", "pos").write.parquet(f"{self.path}/{name}/postings")
-        within = self.spark.read.parquet(f"{self.path}/{name}/postings").groupBy("field", "term", "uri").agg(F.count(F.lit(1)).alias("n"))
+        tasks = self._tasks(f"{name}/documents", stored.count(), TASK_DOCUMENTS)
+        dealt = stored if stored.rdd.getNumPartitions() >= tasks else stored.repartition(tasks, "uri")
+        loose = f"{self.path}/{name}/loose"
+        lists(dealt, self.analyzer, self.most).write.parquet(loose)
+        found = self.spark.read.parquet(loose)
+        parts = max(parts, self._tasks(f"{name}/loose", found.count(), TASK_POSTINGS))
+        found.repartitionByRange(parts, "field", "term", "uri").sortWithinPartitions("field", "term", "uri").write.parquet(f"{self.path}/{name}/postings")
+        at, files = file_system(self.spark, loose)
+        files.delete(at, True)
+        within = self.spark.read.parquet(f"{self.path}/{name}/postings").select("field", "term", "uri", F.size("positions").alias("n"))
+        if _repeated(stored):
+            within = within.groupBy("field", "term", "uri").agg(F.sum("n").alias("n"))
         vocab = within.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
         vocab.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{self.path}/{name}/vocab")
         self._commit([*self.segments(), {"name": name, "deleted": []}])
 
+    def _tasks(self, table: str, rows: int, most: int) -> int:
+        """How many tasks a table of so many rows asks for, with at most so many rows each."""
+        at, files = file_system(self.spark, f"{self.path}/{table}")
+        return max(math.ceil(files.getContentSummary(at).getLength() / TASK_BYTES), math.ceil(rows / most))
+
     def delete(self, uris: DataFrame) -> None:
         """Take documents and their children out of all segments there are."""
         name = f"deleted-{uuid.uuid4().hex}"
@@ -164,10 +195,15 @@ class Index:
         """The documents with another table's columns beside theirs, by URI."""
         return self.documents().join(other, "uri", "left")
 
-    def postings(self, test: Column | None = None) -> DataFrame:
+    def lists(self, test: Column | None = None) -> DataFrame:
+        """field, term, uri, positions."""
         df = self._all("postings")
         return df if test is None else df.where(test)
 
+    def postings(self, test: Column | None = None) -> DataFrame:
+        """field, term, uri, pos: a row for each position."""
+        return self.lists(test).select("field", "term", "uri", F.explode("positions").alias("pos"))
+
     def positions(self, words: list[str], field: str = TEXT) -> DataFrame:
         """uri and pos of any of several terms, merged."""
         return self.postings((F.col("field") == field) & F.col("term").isin(words)).select("uri", "pos").distinct()
@@ -179,10 +215,13 @@ class Index:
 
     def vectors(self) -> DataFrame:
         """uri, term, tf, positions, and (start, end) in the text of each term of each document's text, letters in lower case."""
-        found = self.documents(["text"]).select("uri", F.explode_outer(tokens(F.col("text"))).alias("t")).where(F.col("t").isNotNull()).select("uri", "t.*")
-        one = F.struct("position", "start", "end")
-        grouped = found.groupBy("uri", "term").agg(F.array_sort(F.collect_list(one)).alias("x"))
-        return grouped.select("uri", "term", F.size("x").alias("tf"), F.transform("x", lambda e: e["position"]).alias("positions"), F.transform("x", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("offsets"))
+        docs = self.documents(["text"])
+        own = F.sort_array(F.transform(tokens(F.col("text")), lambda t: F.struct(t["term"].alias("term"), t["position"].alias("position"), t["start"].alias("start"), t["end"].alias("end"))))
+        one = lambda t: F.struct(t["position"].alias("position"), t["start"].alias("start"), t["end"].alias("end"))
+        found = docs.select("uri", F.explode_outer(groups(own, "term", one)).alias("x")).where(F.col("x").isNotNull()).select("uri", "x.term", "x.of")
+        if _repeated(docs):
+            found = found.groupBy("uri", "term").agg(F.sort_array(F.flatten(F.collect_list("of"))).alias("of"))
+        return found.select("uri", "term", F.size("of").alias("tf"), F.col("of.position").alias("positions"), F.transform("of", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("offsets"))
 
     def count(self) -> int:
         return self.documents(["uri"]).count()
@@ -202,7 +241,7 @@ class Index:
         return reduce(lambda a, b: a.join(b, "uri", "left_anti"), barred, found)
 
     def _with(self, test: Column) -> DataFrame:
-        return self.postings(test).select("uri").distinct()
+        return self.lists(test).select("uri").distinct()
 
     def _phrase(self, field: str, words: list[list[str]]) -> DataFrame:
         """URIs with the words one after another; the rarest word's rows aren't looked for, as the optimiser joins by size."""
@@ -222,7 +261,10 @@ class Index:
     def _terms(self, fields: list[str], test: Column) -> DataFrame:
         """URIs of the terms of the vocabulary that pass a test; the vocabulary is read, not the postings, to find them."""
         chosen = self.vocab().where(F.col("field").isin(fields) & test).select("field", "term")
-        return self.postings(F.col("field").isin(fields)).join(chosen, ["field", "term"], "left_semi").select("uri").distinct()
+        named = chosen.limit(NAMED_TERMS + 1).collect()
+        if len(named) > NAMED_TERMS:
+            return self.lists(F.col("field").isin(fields)).join(chosen, ["field", "term"], "left_semi").select("uri").distinct()
+        return self._with(reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("term").isin([r["term"] for r in named if r["field"] == f]) for f in fields]))
 
     def _part(self, p: Part) -> DataFrame | None:
         """The URIs of a part; None if it has nothing to ask for and is left out."""
@@ -282,7 +324,7 @@ class Index:
         times = {w: words.count(w) for w in dict.fromkeys(words)}
         own = (F.col("field") == TEXT) & F.col("term").isin(list(times))
         idf = self.vocab().where(own).select("term", (F.log(F.lit(float(self.count())) / (F.col("df") + 1)) + 1).alias("idf"))
-        counts = self.postings(own).join(hits.select("uri"), "uri", "left_semi").groupBy("uri", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counts = self.lists(own).join(hits.select("uri"), "uri", "left_semi").groupBy("uri", "term").agg(F.sum(F.size("positions")).alias("tf"))
         again = F.create_map(*[F.lit(x) for w, n in times.items() for x in (w, n)])
         scores = counts.join(F.broadcast(idf), "term").groupBy("uri").agg(F.sum(F.sqrt("tf") * F.col("idf") * again[F.col("term")]).alias("score"))
         return hits.select("uri").join(scores, "uri", "left").select("uri", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import scalar
 from siftwell.functions.analysis import SIMPLE
-from siftwell.operators import match, triples
-from siftwell.plans.parts import DateRange
+from siftwell.functions.arrays import groups
+from siftwell.operators import index as stored, match, triples
+from siftwell.operators.index import Index
+from siftwell.plans.parts import DateRange, Prefix
 
 
 def _lean(rows):
@@ -60,3 +62,27 @@ def test_years_of_five_digits(spark):
     got = df.select(scalar.date_string(F.col("ts")), scalar.date_at(F.col("ts"), "month"), scalar.year_month(F.col("ts")), scalar.pretty_date(F.col("ts"), F.lit("2024-01-01").cast("timestamp"))).collect()
     assert [tuple(r) for r in got[1:3]] == [("99991231235959", "999912", "999912", "9999-12-31"), ("100000101000000", "1000001", "1000001", "10000-01-01")]
     assert got[0][0] == "19700101000000" and got[3][0].isdigit()
+
+
+def test_groups_of_sorted_arrays(spark):
+    df = spark.createDataFrame([(["b", "a", "b", None, "c", "a"],), ([],), (["x"],)], "t array<string>")
+    xs = F.sort_array(F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    got = [[(x["term"], x["of"]) for x in r["g"]] for r in df.select(groups(xs, "term", lambda x: x["pos"]).alias("g")).collect()]
+    assert got == [[(None, [3]), ("a", [1, 5]), ("b", [0, 2]), ("c", [4])], [], [("x", [0])]]
+
+
+def test_index_has_as_many_files_as_its_rows_ask_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "TASK_POSTINGS", 500)
+    docs = spark.range(300).select(F.concat(F.lit("u:"), F.col("id") % 299).alias("uri"), F.lit(None).cast("string").alias("parent_uri"), F.concat(F.lit("a b a c"), F.col("id") % 7, F.lit(" a")).alias("text"), F.array().cast(f"array<{match.PROPERTY}>").alias("properties"))
+    index = Index(spark, str(tmp_path / "i"), SIMPLE)
+    index.add(docs, 1)
+    # Once 900 rows of a term and a document were as many rows as occurrences, in one file.
+    files = [f for f in (tmp_path / "i" / index.segments()[0]["name"] / "postings").iterdir() if f.suffix == ".parquet"]
+    assert len(files) == 2 and index.lists().count() == 900 and index.postings().count() == 1500
+    assert sorted(map(tuple, index.vocab().collect())) == [("Text", "a", 299, 900), ("Text", "b", 299, 300), ("Text", "c", 299, 300)]
+    assert sorted(r["pos"] for r in index.postings((F.col("term") == "a") & (F.col("uri") == "u:5")).collect()) == [0, 2, 4]
+    some = index.search(Prefix("a")).count()
+    monkeypatch.setattr(stored, "NAMED_TERMS", 0)
+    assert some == index.search(Prefix("a")).count() == 299
+    assert {(r["tf"], tuple(r["positions"])) for r in index.vectors().where("uri <> 'u:0'").collect()} == {(3, (0, 2, 4)), (1, (1,)), (1, (3,))}
+    assert {r["tf"] for r in index.vectors().where("uri = 'u:0'").collect()} == {6, 2}
