@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import analysis, scalar
 from siftwell.functions.analysis import SIMPLE, STOP
+from siftwell.functions.arrays import let
 from siftwell.operators import changes, match, postings, rank, snippets, spans, triples
 from siftwell.operators.match import Matcher
 from siftwell.plans import boolean, human
@@ -118,8 +119,9 @@ _add(
 def _spans(build: Callable[[DataFrame], object]) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _docs(spark, sf_dir)
-        df = df.select("uri", build(F.col("terms")).alias("s")).where(F.size("s") > 0)
-        return df.select("uri", F.explode("s").alias("x")).select("uri", F.col("x.first").cast("long").alias("first"), F.col("x.end").cast("long").alias("span_end"))
+        # An outer explode works its array out once; an inner one has filters of it too.
+        df = df.select("uri", F.explode_outer(let(F.col("terms"), build)).alias("x")).where(F.col("x").isNotNull())
+        return df.select("uri", F.col("x.first").cast("long").alias("first"), F.col("x.end").cast("long").alias("span_end"))
 
     return run
 
@@ -297,7 +299,7 @@ _add(
 
 
 def _analysis(analyzer: analysis.Analyzer) -> Run:
-    return lambda s, d: tables.documents(s, d).select("uri", F.explode(analyzer.column(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return lambda s, d: tables.documents(s, d).select("uri", F.explode_outer(analyzer.column(F.col("text"))).alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _analysis_sql(terms: str) -> str:

@@ -8,12 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Values that one array is made of by adding to it, which copies it each time.
-CHUNK = 256
+CHUNK = 64
 
 
 def let(x: Column, then: Callable[[Column], Column]) -> Column:
-    """then(x), where x is worked out once."""
-    return F.transform(F.array(x), then)[0]
+    """then(x), where x is worked out once; no step over an empty array, as that copies nothing."""
+    return F.aggregate(F.array().cast("array<int>"), x, lambda a, _: a, then)
+
+
+def let_all(xs: list[Column], then: Callable[[list[Column]], Column]) -> Column:
+    """The same of several."""
+    return let(xs[0], lambda x: let_all(xs[1:], lambda rest: then([x, *rest]))) if xs else then([])
 
 
 def before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:

@@ -2,7 +2,8 @@
 
 A document is one row, so a whole tree is a filter: scans read only the columns that the tree needs,
 nothing is shuffled, and Catalyst may reorder the conjuncts. Documents need: uri, ts, terms (of the text),
-property_terms (of the searched text properties, one after another) and properties (an array of structs).
+property_terms (of the searched text properties, one after another) and properties (an array of structs). A filter
+takes the place of terms by what they are worked out from, so what uses them more than once names them by let().
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.analysis import Analyzer
+from siftwell.functions.arrays import let, let_all
 from siftwell.functions.scalar import levenshtein_similarity, wildcard_regex
 from siftwell.plans.parts import PROHIBITED, And, DateRange, Fuzzy, MatchAll, MultiPhrase, Or, Part, Prefix, Property, Query, Text, TermRange, Uri, Wildcard
 
@@ -45,13 +47,19 @@ def _phrase(terms: Column, words: list[str]) -> Column:
     """If the words stand consecutively."""
     if len(words) == 1:
         return F.array_contains(terms, words[0])
-    there = reduce(lambda a, b: a & b, [F.array_contains(terms, w) for w in dict.fromkeys(words)])
-    return F.when(there, F.size(phrase_places(terms, words)) > 0).otherwise(F.lit(False))
+
+    def there(ts: Column) -> Column:
+        return reduce(lambda a, b: a & b, [F.array_contains(ts, w) for w in dict.fromkeys(words)])
+
+    return let(terms, lambda ts: F.when(there(ts), F.size(_phrase_places(ts, words)) > 0).otherwise(F.lit(False)))
 
 
 def phrase_places(terms: Column, words: list[str]) -> Column:
     """Where a phrase begins."""
+    return let(terms, lambda ts: _phrase_places(ts, words))
+
 
+def _phrase_places(terms: Column, words: list[str]) -> Column:
     def here(t: Column, i: Column) -> Column:
         ok = t == words[0]
         for k, w in enumerate(words[1:], 1):
@@ -73,8 +81,11 @@ def sloppy_distance(terms: Column, words: list[str]) -> Column:
     least window with a beginning of every word. Windows are tried by where they start: each word's next
     beginning from there on, so the work is the number of beginnings times that of words.
     """
-    starts = F.array_sort(F.array_distinct(F.flatten(F.array(*[_shifted(terms, w, n) for n, w in enumerate(words)]))))
-    lists = [_shifted(terms, w, n) for n, w in enumerate(words)]
+    return let(terms, lambda ts: let_all([_shifted(ts, w, n) for n, w in enumerate(words)], _least_width))
+
+
+def _least_width(lists: list[Column]) -> Column:
+    starts = F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
 
     def width(low: Column) -> Column:
         # The first of a sorted list from low on; null where a word has none left.
@@ -95,13 +106,16 @@ def _shifted(terms: Column, word: str, n: int) -> Column:
 def multi_phrase_places(terms: Column, words: list[list[str]]) -> Column:
     """Where a phrase begins that has one of several words at each place."""
 
-    def here(t: Column, i: Column) -> Column:
-        ok = t.isin(words[0])
-        for k, ws in enumerate(words[1:], 1):
-            ok = ok & F.coalesce(F.get(terms, i + k).isin(ws), F.lit(False))
-        return F.when(ok, i)
+    def found(ts: Column) -> Column:
+        def here(t: Column, i: Column) -> Column:
+            ok = t.isin(words[0])
+            for k, ws in enumerate(words[1:], 1):
+                ok = ok & F.coalesce(F.get(ts, i + k).isin(ws), F.lit(False))
+            return F.when(ok, i)
 
-    return F.array_compact(F.transform(terms, here))
+        return F.array_compact(F.transform(ts, here))
+
+    return let(terms, found)
 
 
 # --- filters of hits, behind a search ----------------------------------------------------------------------------------

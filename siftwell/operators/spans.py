@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions.arrays import let, let_all
 from siftwell.operators.match import places
 
 SPANS = "array<struct<first:int,end:int>>"
@@ -25,7 +26,7 @@ def either(*spans: Column) -> Column:
 
 def without(include: Column, exclude: Column) -> Column:
     """Those that overlap none of the others."""
-    return F.filter(include, lambda s: ~F.exists(exclude, lambda x: (x["first"] < s["end"]) & (s["first"] < x["end"])))
+    return let(exclude, lambda xs: F.filter(include, lambda s: ~F.exists(xs, lambda x: (x["first"] < s["end"]) & (s["first"] < x["end"]))))
 
 
 def near(a: Column, b: Column, slop: int, ordered: bool = True) -> Column:
@@ -35,7 +36,7 @@ def near(a: Column, b: Column, slop: int, ordered: bool = True) -> Column:
         # Of each x, the y after it that are close enough.
         return F.flatten(F.transform(x, lambda s: F.transform(F.filter(y, lambda t: (t["first"] >= s["end"]) & (t["first"] - s["end"] <= slop)), lambda t: F.struct(s["first"].alias("first"), t["end"].alias("end")))))
 
-    return either(pairs(a, b)) if ordered else either(pairs(a, b), pairs(b, a))
+    return let_all([a, b], lambda x: either(pairs(x[0], x[1])) if ordered else either(pairs(x[0], x[1]), pairs(x[1], x[0])))
 
 
 def near_all(clauses: list[Column], slop: int, ordered: bool = True) -> Column:
@@ -44,6 +45,10 @@ def near_all(clauses: list[Column], slop: int, ordered: bool = True) -> Column:
     In order: each span of the first goes on with those of the next behind it, and places between add up.
     In any order: windows that begin with a span, hold one of each and are no wider than their words and slop.
     """
+    return let_all(clauses, lambda xs: _near_all(xs, slop, ordered))
+
+
+def _near_all(clauses: list[Column], slop: int, ordered: bool) -> Column:
     if ordered:
         found = F.transform(clauses[0], lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end"), F.lit(0).alias("gap")))
         for clause in clauses[1:]:

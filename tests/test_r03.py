@@ -4,8 +4,10 @@ import random
 import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from siftwell import catalog
 from siftwell.functions import scalar
 from siftwell.functions.analysis import SIMPLE
 from siftwell.functions.arrays import groups
@@ -86,3 +88,15 @@ def test_index_has_as_many_files_as_its_rows_ask_for(spark, tmp_path, monkeypatc
     assert some == index.search(Prefix("a")).count() == 299
     assert {(r["tf"], tuple(r["positions"])) for r in index.vectors().where("uri <> 'u:0'").collect()} == {(3, (0, 2, 4)), (1, (1,)), (1, (3,))}
     assert {r["tf"] for r in index.vectors().where("uri = 'u:0'").collect()} == {6, 2}
+
+
+#: Queries that use the terms of a text more than once.
+OFTEN = ["multi_phrase", "text_phrase", "sloppy_phrase", "span_not", "span_near"]
+
+
+@pytest.mark.parametrize("name", OFTEN)
+def test_terms_are_worked_out_once(spark, name):
+    """A filter that takes the place of terms by their pattern had it once for each word, or for each term of a text."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    asks = 2 if name in ("text_phrase", "sloppy_phrase") else 1  # the text, and the text properties
+    assert plan.count("regexp_extract_all") == asks
