@@ -22,16 +22,18 @@ MAX_TOKEN = 255
 # The English stop words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 
-#: Token classes of the standard grammar, the more specific first.
+#: Token classes of the standard grammar, the more specific first. No run gives back characters (++), as what may follow
+#: it isn't of its kind; and letters that nothing of the other classes follows come first, as they are most of a text.
 STANDARD = (
-    r"([\p{L}\p{N}]+(?:[._+-][\p{L}\p{N}]+)*@[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)+"  # address
+    r"((?:[A-Za-z]|(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}])\p{L})\p{L}*+(?![\p{N}._+@&,/'-])"
+    r"|[\p{L}\p{N}]++(?:[._+-][\p{L}\p{N}]++)*+@[\p{L}\p{N}]++(?:[.-][\p{L}\p{N}]++)++"  # address
     r"|\p{L}\.(?:\p{L}\.)+"  # acronym
-    r"|\p{L}+[&@]\p{L}+"  # company
-    r"|[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)+"  # host or number with points
-    r"|[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*(?:[_,/-][\p{L}\p{N}]+)+"  # number with signs
+    r"|\p{L}++[&@]\p{L}++"  # company
+    r"|[\p{L}\p{N}]++(?:\.[\p{L}\p{N}]++)++"  # host or number with points
+    r"|\p{L}*+\p{N}[\p{L}\p{N}]*+(?:[_,/-][\p{L}\p{N}]++)++"  # number with signs
     r"|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"  # a character of its own
-    r"|\p{L}+(?:'\p{L}+)+"  # apostrophe
-    r"|[\p{L}\p{N}]+)"
+    r"|\p{L}++(?:'\p{L}++)++"  # apostrophe
+    r"|[\p{L}\p{N}]++)"
 )
 
 
@@ -133,6 +135,23 @@ def _token(x: Column, at: Column, k: Column) -> Column:
     return F.struct(F.lower(x["t"]).alias("term"), (at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), k.alias("position"))
 
 
+#: Characters of the pieces that places are read from, a power of two.
+PIECE_BITS = 7
+
+
+def at_places(text: Column, spans: Column) -> Column:
+    """What a text has from start to end of each of several spans, in proportion to its length."""
+    size = 1 << PIECE_BITS
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+
+    def one(ps: Column, x: Column) -> Column:
+        k, n = F.shiftright(x["start"], PIECE_BITS), x["end"] - x["start"]
+        two = F.concat(F.get(ps, k), F.coalesce(F.get(ps, k + 1), F.lit("")))
+        return F.when(n <= size, F.substring(two, x["start"] - k * size + 1, n)).otherwise(F.substring(text, x["start"] + 1, n))
+
+    return let(pieces, lambda ps: F.transform(spans, lambda x: one(ps, x)))
+
+
 def is_noise(t: Column) -> Column:
     """Terms not worth a place: over 30 letters, or of mixed kinds and long, or changing kind often."""
     n = F.length(t)
@@ -144,27 +163,35 @@ def is_noise(t: Column) -> Column:
 def standard_terms(text: Column) -> Column:
     """Standard grammar, possessives and acronym points removed, lower case, no stop words, no noise."""
     found = F.regexp_extract_all(text, F.lit(STANDARD), F.lit(1))
-    bare = F.transform(found, lambda t: F.when(t.rlike(r"^\p{L}\.(\p{L}\.)+$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(F.regexp_replace(t, "'[sS]$", "")))
-    low = F.transform(bare, lambda t: F.lower(t))
+
+    def bare(t: Column) -> Column:
+        t = F.when(t.rlike(r"^\p{L}\.(\p{L}\.)+$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(F.regexp_replace(t, "'[sS]$", ""))
+        low = F.lower(t)
+        return F.when(low.rlike("^[0-9]+$"), F.regexp_replace(low, "^0+", "")).otherwise(low)
 
     def kept(t: Column) -> Column:
         # Addresses and hosts aren't noise, and numbers with signs only if long.
         whole = t.contains("@") | t.rlike(_HOST) | t.rlike(_NUMBER) & (F.length(t) <= MAX_NUMBER)
-        return ~t.isin(STOP_WORDS) & (whole | ~is_noise(t)) & (t != "")
+        return ~t.isin(STOP_WORDS) & (t.rlike(_WORD) | whole | ~is_noise(t)) & (t != "")
 
-    return F.filter(F.transform(low, lambda t: F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+", "")).otherwise(t)), kept)
+    # Most are letters only, which need none of these.
+    return F.filter(F.transform(found, lambda t: F.when(t.rlike(r"^\p{L}+\z"), F.lower(t)).otherwise(bare(t))), kept)
 
 
-#: A host; a number with signs, and how long one may be.
+#: A word that isn't noise; a host; a number with signs, and how long one may be.
+_WORD = r"^\p{L}{1,30}\z"
 _HOST = r"^[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*(\.[\p{L}\p{N}]+)+$"
 _NUMBER, MAX_NUMBER = r"^[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*([._,/-][\p{L}\p{N}]+)+$", 20
 
 
 def indexed_terms(text: Column) -> Column:
     """The standard terms, and behind them the pieces of addresses and hosts."""
-    terms = standard_terms(text)
-    pieces = F.transform(F.filter(terms, lambda t: t.contains("@") | (t.contains(".") & t.rlike(r"\p{L}"))), lambda t: F.filter(address_parts(t), lambda x: (x != t) & (x != "")))
-    return F.concat(terms, F.flatten(pieces))
+
+    def whole(terms: Column) -> Column:
+        pieces = F.transform(F.filter(terms, lambda t: t.contains("@") | (t.contains(".") & t.rlike(r"\p{L}"))), lambda t: F.filter(address_parts(t), lambda x: (x != t) & (x != "")))
+        return F.concat(terms, F.flatten(pieces))
+
+    return let(standard_terms(text), whole)
 
 
 def standard_query_terms(text: str) -> list[str]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell import catalog
-from siftwell.functions import scalar
+from siftwell.functions import analysis, scalar
 from siftwell.functions.analysis import SIMPLE
 from siftwell.functions.arrays import groups
 from siftwell.operators import index as stored, match, triples
@@ -91,7 +91,7 @@ def test_index_has_as_many_files_as_its_rows_ask_for(spark, tmp_path, monkeypatc
 
 
 #: Queries that use the terms of a text more than once.
-OFTEN = ["multi_phrase", "text_phrase", "sloppy_phrase", "span_not", "span_near"]
+OFTEN = ["multi_phrase", "text_phrase", "sloppy_phrase", "span_not", "span_near", "analyzer_standard"]
 
 
 @pytest.mark.parametrize("name", OFTEN)
@@ -100,3 +100,13 @@ def test_terms_are_worked_out_once(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     asks = 2 if name in ("text_phrase", "sloppy_phrase") else 1  # the text, and the text properties
     assert plan.count("regexp_extract_all") == asks
+
+
+def test_the_standard_grammar_as_it_was(spark):
+    was = r"""[\p{L}\p{N}]+(?:[._+-][\p{L}\p{N}]+)*@[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)+|\p{L}\.(?:\p{L}\.)+|\p{L}+[&@]\p{L}+|[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)+|[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*(?:[_,/-][\p{L}\p{N}]+)+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|\p{L}+(?:'\p{L}+)+|[\p{L}\p{N}]+"""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aaBbé漢あ12²..@@&'_,-+/ ") for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [F.regexp_extract_all("t", F.lit(p), F.lit(1)) for p in (f"({was})", analysis.STANDARD)]
+    assert df.where(found[0] != found[1]).limit(3).collect() == []
+    assert [r["x"] for r in df.select(analysis.standard_terms(F.col("t")).alias("x")).collect()] == [analysis.STANDARD_ANALYZER.terms(t) for t in texts]
