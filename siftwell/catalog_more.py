@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.catalog import _DOCS, _GRAPH, _HIT, _POS, _add, _docs, _find, _graph, _hierarchy, _hits, _labels, _stats, _t, _uris, ORACLE_SQL
 from siftwell.functions import analysis, relations, scalar
 from siftwell.functions.analysis import SIMPLE
+from siftwell.functions.arrays import let
 from siftwell.functions.stemming import STEMMERS
 from siftwell.operators import changes, match, rank, spans, triples
 from siftwell.operators.index import TEXT, Index
@@ -60,7 +61,7 @@ _add("index_positions", lambda s, d: _index(s, d).positions(["thing", "nicht"]).
 _add("index_vectors", lambda s, d: _index(s, d).vectors().where(F.col("uri").startswith("doc:")).select("uri", "term", "tf", F.array_join("positions", ",").alias("positions")), f"{_POS} SELECT uri, term, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p GROUP BY uri, term")
 _add(
     "index_offsets",
-    lambda s, d: tables.documents(s, d).select("uri", "text", F.explode_outer(analysis.tokens(F.col("text"))).alias("t")).where(F.col("t").isNotNull()).groupBy("uri").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower(F.expr("substring(text, t.start + 1, t.end - t.start)")) == F.col("t.term")).alias("n_right")),
+    lambda s, d: tables.documents(s, d).select("uri", let(analysis.tokens(F.col("text")), lambda ts: F.struct(F.size(ts).alias("n"), F.size(F.filter(F.zip_with(ts, analysis.at_places(F.col("text"), ts), lambda t, x: F.lower(x) == t["term"]), lambda right: right)).alias("n_right"))).alias("x")).groupBy("uri").agg(F.sum("x.n").alias("n"), F.sum("x.n_right").alias("n_right")).where("n > 0"),
     f"{_POS} SELECT uri, count(*) AS n, count(*) AS n_right FROM p GROUP BY uri",
 )
 _add("index_first_field", lambda s, d: _index(s, d).first("dc:title"), "SELECT 'part:' || p_partkey AS uri, p_name AS value FROM part")

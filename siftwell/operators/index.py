@@ -216,9 +216,8 @@ class Index:
     def vectors(self) -> DataFrame:
         """uri, term, tf, positions, and (start, end) in the text of each term of each document's text, letters in lower case."""
         docs = self.documents(["text"])
-        own = F.sort_array(F.transform(tokens(F.col("text")), lambda t: F.struct(t["term"].alias("term"), t["position"].alias("position"), t["start"].alias("start"), t["end"].alias("end"))))
         one = lambda t: F.struct(t["position"].alias("position"), t["start"].alias("start"), t["end"].alias("end"))
-        found = docs.select("uri", F.explode_outer(groups(own, "term", one)).alias("x")).where(F.col("x").isNotNull()).select("uri", "x.term", "x.of")
+        found = docs.select("uri", F.explode_outer(groups(F.sort_array(tokens(F.col("text"))), "term", one)).alias("x")).where(F.col("x").isNotNull()).select("uri", "x.term", "x.of")
         if _repeated(docs):
             found = found.groupBy("uri", "term").agg(F.sort_array(F.flatten(F.collect_list("of"))).alias("of"))
         return found.select("uri", "term", F.size("of").alias("tf"), F.col("of.position").alias("positions"), F.transform("of", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("offsets"))

@@ -102,6 +102,15 @@ def test_terms_are_worked_out_once(spark, name):
     assert plan.count("regexp_extract_all") == asks
 
 
+def test_offsets_are_read_without_copies_of_the_text(spark):
+    plan = catalog.QUERIES["index_offsets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    texts = ["", "Ünder the é 12 Bridge", "x" * 127 + " " + "y" * 300 + " z\n" + "𝒜b " * 200, "a\r\nb\u2028c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t"), analysis.tokens(F.col("t")).alias("x"))
+    for r in df.select("t", "x", analysis.at_places(F.col("t"), F.col("x")).alias("read")).collect():
+        assert r["read"] == [r["t"][x["start"] : x["end"]] for x in r["x"]] and [w.lower() for w in r["read"]] == [x["term"] for x in r["x"]]
+
+
 def test_the_standard_grammar_as_it_was(spark):
     was = r"""[\p{L}\p{N}]+(?:[._+-][\p{L}\p{N}]+)*@[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)+|\p{L}\.(?:\p{L}\.)+|\p{L}+[&@]\p{L}+|[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)+|[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*(?:[_,/-][\p{L}\p{N}]+)+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|\p{L}+(?:'\p{L}+)+|[\p{L}\p{N}]+"""
     rng = random.Random(3)
