@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Values that one array is made of by adding to it, which copies it each time.
-CHUNK = 64
+#: Values that one array is made of by adding to it, which copies it each time; and so many of such arrays' sums.
+CHUNKS = (64, 256)
 
 
 def let(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -28,22 +28,26 @@ def before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
         none = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(part, none, lambda a, x: F.struct(merge(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
-    def whole(vs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(vs), F.lit(1)), F.lit(CHUNK))
-        return let(F.transform(starts, lambda k: F.slice(vs, k, CHUNK)), merged)
+    def whole(vs: Column, sizes: tuple[int, ...]) -> Column:
+        if not sizes:
+            return run(vs, F.lit(0))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(vs), F.lit(1)), F.lit(sizes[0]))
 
-    def merged(chunks: Column) -> Column:
-        firsts = run(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), merge)), F.lit(0))
-        return F.flatten(F.zip_with(chunks, firsts, run))
+        def merged(chunks: Column) -> Column:
+            sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), merge))
+            return F.flatten(F.zip_with(chunks, let(sums, lambda x: whole(x, sizes[1:])), run))
 
-    return let(values, whole)
+        return let(F.transform(starts, lambda k: F.slice(vs, k, sizes[0])), merged)
 
+    return let(values, lambda vs: whole(vs, CHUNKS))
 
-def groups(values: Column, key: str, part: Callable[[Column], Column]) -> Column:
-    """key, of for each value of a field of an array of structs that is sorted by it: what part makes of its structs."""
 
-    def whole(xs: Column) -> Column:
-        firsts = F.array_compact(F.transform(xs, lambda x, i: F.when((i == 0) | ~F.get(xs, i - 1)[key].eqNullSafe(x[key]), i)))
-        return let(firsts, lambda at: let(F.transform(xs, part), lambda ps: F.transform(at, lambda a, k: F.struct(xs[a][key].alias(key), F.slice(ps, a + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - a).alias("of")))))
+def groups(values: Column, key: str, fields: list[str]) -> Column:
+    """key and fields of an array of structs that is sorted by key: for each of its values, the arrays of the others."""
 
-    return let(values, whole)
+    def parted(columns: list[Column]) -> Column:
+        ks, others = columns[0], columns[1:]
+        firsts = F.array_compact(F.transform(ks, lambda x, i: F.when((i == 0) | ~F.get(ks, i - 1).eqNullSafe(x), i)))
+        return let(firsts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(ks, a).alias(key), *[F.slice(v, a + 1, F.coalesce(F.get(at, k + 1), F.size(ks)) - a).alias(f) for f, v in zip(fields, others)])))
+
+    return let(values, lambda xs: let_all([xs[f] for f in (key, *fields)], parted))

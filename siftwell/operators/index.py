@@ -49,8 +49,8 @@ def lists(docs: DataFrame, analyzer: Analyzer, most: int | None = None) -> DataF
     )
     fields = docs.select("uri", F.explode_outer(lists).alias("x")).select("uri", "x.field", "x.terms")
     placed = F.sort_array(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    found = fields.select("field", "uri", F.explode_outer(groups(placed, "term", lambda x: x["pos"])).alias("x"))
-    return found.where(F.col("x.term").isNotNull()).select("field", "x.term", "uri", F.col("x.of").alias("positions"))
+    found = fields.select("field", "uri", F.explode_outer(groups(placed, "term", ["pos"])).alias("x"))
+    return found.where(F.col("x.term").isNotNull()).select("field", "x.term", "uri", F.col("x.pos").alias("positions"))
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -216,11 +216,11 @@ class Index:
     def vectors(self) -> DataFrame:
         """uri, term, tf, positions, and (start, end) in the text of each term of each document's text, letters in lower case."""
         docs = self.documents(["text"])
-        one = lambda t: F.struct(t["position"].alias("position"), t["start"].alias("start"), t["end"].alias("end"))
-        found = docs.select("uri", F.explode_outer(groups(F.sort_array(tokens(F.col("text"))), "term", one)).alias("x")).where(F.col("x").isNotNull()).select("uri", "x.term", "x.of")
+        own = groups(F.sort_array(tokens(F.col("text"))), "term", ["position", "start", "end"])
+        found = docs.select("uri", F.explode_outer(own).alias("x")).where(F.col("x").isNotNull()).select("uri", "x.*")
         if _repeated(docs):
-            found = found.groupBy("uri", "term").agg(F.sort_array(F.flatten(F.collect_list("of"))).alias("of"))
-        return found.select("uri", "term", F.size("of").alias("tf"), F.col("of.position").alias("positions"), F.transform("of", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("offsets"))
+            found = found.groupBy("uri", "term").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("position", "start", "end")))).alias("x")).select("uri", "term", "x.position", "x.start", "x.end")
+        return found.select("uri", "term", F.size("position").alias("tf"), F.col("position").alias("positions"), F.arrays_zip("start", "end").alias("offsets"))
 
     def count(self) -> int:
         return self.documents(["uri"]).count()

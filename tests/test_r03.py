@@ -69,7 +69,7 @@ def test_years_of_five_digits(spark):
 def test_groups_of_sorted_arrays(spark):
     df = spark.createDataFrame([(["b", "a", "b", None, "c", "a"],), ([],), (["x"],)], "t array<string>")
     xs = F.sort_array(F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    got = [[(x["term"], x["of"]) for x in r["g"]] for r in df.select(groups(xs, "term", lambda x: x["pos"]).alias("g")).collect()]
+    got = [[(x["term"], x["pos"]) for x in r["g"]] for r in df.select(groups(xs, "term", ["pos"]).alias("g")).collect()]
     assert got == [[(None, [3]), ("a", [1, 5]), ("b", [0, 2]), ("c", [4])], [], [("x", [0])]]
 
 
@@ -88,6 +88,11 @@ def test_index_has_as_many_files_as_its_rows_ask_for(spark, tmp_path, monkeypatc
     assert some == index.search(Prefix("a")).count() == 299
     assert {(r["tf"], tuple(r["positions"])) for r in index.vectors().where("uri <> 'u:0'").collect()} == {(3, (0, 2, 4)), (1, (1,)), (1, (3,))}
     assert {r["tf"] for r in index.vectors().where("uri = 'u:0'").collect()} == {6, 2}
+    # Terms of a text are gathered in its row; only documents that share a URI are shuffled.
+    assert {tuple(map(tuple, r["offsets"])) for r in index.vectors().where("uri = 'u:5' and term = 'a'").collect()} == {((0, 1), (4, 5), (9, 10))}
+    alone = Index(spark, str(tmp_path / "a"), SIMPLE)
+    alone.add(docs.where("uri <> 'u:0'"), 1)
+    assert "Aggregate" not in alone.vectors()._jdf.queryExecution().optimizedPlan().toString() and alone.vectors().count() == 3 * 298
 
 
 #: Queries that use the terms of a text more than once.
